@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat", "warc")
+MODULES = ("chat", "warc", "quality_rules")
 
 
 def _all(attr: str) -> dict:
