@@ -57,3 +57,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of at most ``size`` bytes from now on (lower limits of the session stay).
+
+    Long texts make the usual 10,000 rows a batch too large for a small executor's Python workers.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > size:
+        spark.conf.set(key, str(size))
