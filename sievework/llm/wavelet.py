@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.session import new_path, stored, table
+from sievework.session import bound_batches, new_path, stored, table
 
 END_ID = 2
 BITS = 16
-SHARD_TOKENS = 1 << 20
-CACHE = 400_000
-BATCH_BYTES = 4 << 20
+SHARD_TOKENS = 1 << 19
+CACHE = 250_000
+BATCH_BYTES = 1 << 20
+#: Chunks given to the library at once; its results are large.
+BLOCK_CHUNKS = 4096
 #: More parts than this are joined by a shuffle.
 BROADCAST_PARTS = 500_000
 _MAGIC = b"SWM1"
@@ -190,30 +194,81 @@ def unpack(image: bytes | memoryview) -> tuple[WaveletMatrix, list[int | None],
 
 
 class Encoder:
-    """Ids of whole texts (UTF-8 bytes), as little-endian 16-bit integers, with the end id."""
+    """Ids of whole texts (UTF-8 bytes), as little-endian 16-bit integers, with the end id.
+
+    Up to ``CACHE`` chunks are remembered. A new chunk that is a known one in other case, or with one full stop or
+    comma after a letter, is put together from what is known: the tokenizer lower-cases, and splits there.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little":
+            raise RuntimeError("a little-endian machine is needed")
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << BITS:
             raise ValueError("ids of at most 16 bits are supported")
         self.end = struct.pack("<H", end_id)
+        self.stops = {s.encode(): self._ids(s) for s in (".", ",")}
         self.known: dict[bytes, bytes] = {}
 
+    def _ids(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        get = self.known.get
         chunks = [t.split() for t in texts]
-        new = set().union(*chunks).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = set().union(*chunks)
-        order = list(new)
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in order], add_special_tokens=False)
-        pack_ids = np.array
-        self.known.update((w, pack_ids(e.ids, "<u2").tobytes()) for w, e in zip(order, got, strict=True))
-        of = self.known.__getitem__
-        return [b"".join(map(of, c)) + self.end for c in chunks]
+        found = [list(map(get, c)) for c in chunks]
+        new = {c[i] for c, f in zip(chunks, found, strict=True) if None in f for i, x in enumerate(f) if x is None}
+        if new:
+            fresh = self._fresh(new)
+            for c, f in zip(chunks, found, strict=True):
+                if None in f:
+                    f[:] = [fresh[w] if x is None else x for w, x in zip(c, f, strict=True)]
+            if len(self.known) < CACHE:
+                self.known.update(fresh)
+        return [b"".join(f) + self.end for f in found]
+
+    def _fresh(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that aren't known."""
+        get, stops = self.known.get, self.stops
+        out: dict[bytes, bytes] = {}
+        rest: list[tuple[bytes, bytes, bytes]] = []
+        for w in new:
+            core, tail = w, stops.get(w[-1:], b"")
+            if tail:
+                core = w[:-1]
+                if not (core[-1:].isalpha() or (core[-1:] >= b"\x80" and core.decode("utf-8")[-1].isalpha())):
+                    core, tail = w, b""
+            if core.isascii() and b"<" not in core:
+                core = core.lower()
+            ids = get(core)
+            if ids is None:
+                rest.append((w, core, tail))
+            else:
+                out[w] = ids + tail
+        todo = list({core for _, core, _ in rest})
+        cores: dict[bytes, bytes] = {}
+        for i in range(0, len(todo), BLOCK_CHUNKS):
+            cores.update(self._encode_block(todo[i : i + BLOCK_CHUNKS]))
+        out.update((w, cores[core] + tail) for w, core, tail in rest)
+        return cores | out
+
+    def _encode_block(self, block: list[bytes]) -> dict[bytes, bytes]:
+        """Chunks in one call, a blank between them; a token belongs to the chunk in which it starts."""
+        texts = [c.decode("utf-8") for c in block]
+        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        raw = array("H", got.ids).tobytes()
+        starts = np.array([a for a, _ in got.offsets], np.int64)
+        cut = (2 * np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))).tolist()
+        return {c: raw[i:j] for c, i, j in zip(block, [0, *cut], cut, strict=False)}
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One per worker process, so what it knows serves all of its tasks."""
+    return Encoder(path)
 
 
 SHARDS = "part int, shard int, before long, n_tokens long, image binary"
@@ -221,7 +276,7 @@ SHARDS = "part int, shard int, before long, n_tokens long, image binary"
 
 def _writer(path: str, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        encoder, part = encoder_of(path), TaskContext.get().partitionId()
         shard = before = tokens = 0
         pieces: list[bytes] = []
         ids: list[int | None] = []
@@ -265,6 +320,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """Documents dealt by ranges of (doc_id, hash of the text), so a repeated id can't gather in one task."""
+    bound_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
     dealt = d.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
