@@ -163,8 +163,8 @@ class Codec:
             held = F.transform(F.array(F.get(common, self.slot(w, slots))), lambda s: F.when(s.w == w, F.struct(s.ids.alias("ids"), s.out.alias("out"))).otherwise(self.encoded(w)))
             return F.get(held, F.lit(0))
 
-        got = docs.select("*", F.transform(self.words(F.col("text")), one).alias("_got"))
-        join = lambda k: F.array_join(F.transform("_got", lambda x: x[k]), "")
+        got = docs.select("*", F.transform(self.words(F.col("text")), one).alias("_sw_got"))
+        join = lambda k: F.array_join(F.transform("_sw_got", lambda x: x[k]), "")
         return got.select(*docs.columns, join("ids").alias("ids_hex"), join("out").alias("out_hex"))
 
 

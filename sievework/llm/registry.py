@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat", "warc", "quality_rules", "licenses", "byte_bpe", "near_dup", "wavelet", "pairwise_quality", "line_chunks")
+MODULES = ("chat", "warc", "quality_rules", "licenses", "byte_bpe", "near_dup", "wavelet", "pairwise_quality", "line_chunks", "decontaminate")
 
 
 def _all(attr: str) -> dict:
