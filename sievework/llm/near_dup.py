@@ -8,10 +8,11 @@ standard errors of the limit are confirmed on their full sets. At a similarity o
 cases of 10^7 and is estimated too low as rarely.
 
 No bucket is expanded into all its pairs. Equal sets become one node first. In each bucket the member that
-shares most buckets with others is tried against the rest; then, as long as a bucket holds members that are not
-connected yet, members outside its largest component are tried, ``HUBS`` a bucket and round, against those of
-other components, until none is left untried. So every pair of a bucket is either confirmed, refuted, or already
-connected, whatever the bucket's size.
+shares most buckets with others (the likely original) is tried against the rest. Only buckets that still hold
+members outside their largest component go on: small ones (``SMALL`` members) as pairs, estimated and confirmed as
+above; larger ones in blocks of ``BLOCK`` members whose full sets are intersected at once, each block of outsiders
+against every block of the bucket, giving back only links that join components. So every pair of a bucket is
+confirmed, refuted, or already connected, whatever the bucket's size, and rows grow with members, not with pairs.
 
 Defined cases: null, empty or wordless text has the empty set: linked with nothing, its own component. Texts with
 fewer words than a shingle have one shingle, the whole sequence. A null doc_id takes part in nothing: component_id
@@ -29,16 +30,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievework.llm.components import components
 from sievework.llm.hashing import mix, window_hashes, word_hashes
-from sievework.session import stored, table
+from sievework.session import bound_batches, stored, table
 
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-HUBS = 32
+SMALL = 8
+BLOCK = 128
 #: More ids than this are joined by a shuffle; up to this they are broadcast (16 bytes each).
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -144,8 +145,69 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num:
     return test.where(den * F.col("i") >= num * (F.col("t") - F.col("i"))).select("a", "b").distinct()
 
 
+def _linker(num: int, den: int):
+    """Exact links between a block of outsiders and a block of members, less those within a component."""
+
+    def matrix(sets: list[np.ndarray], shared: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(shared)), np.float32)
+        for i, s in enumerate(sets):
+            at = np.searchsorted(shared, s)
+            at[at == len(shared)] = 0
+            out[i, at[shared[at] == s]] = 1
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for left, right in zip(b.column(0), b.column(1), strict=True):
+                x, y = left.values, right.values
+                ids, labels, sets = zip(*([v.field(0).to_numpy(), v.field(1).to_numpy(), _lists(v.field(2))] for v in (x, y)), strict=True)
+                tops = [np.unique(np.concatenate(s)) for s in sets]
+                shared = np.intersect1d(*tops, assume_unique=True)
+                if not len(shared):
+                    continue
+                both = np.rint(matrix(sets[0], shared) @ matrix(sets[1], shared).T).astype(np.int64)
+                sizes = np.array([len(s) for s in sets[0]])[:, None] + np.array([len(s) for s in sets[1]])[None, :]
+                ok = (den * both >= num * (sizes - both)) & (labels[0][:, None] != labels[1][None, :])
+                up: dict[int, int] = {}
+
+                def root(v: int, up: dict[int, int] = up) -> int:
+                    while v in up:
+                        v = up[v]
+                    return v
+
+                for i, j in zip(*np.nonzero(ok), strict=True):
+                    p, q = root(int(labels[0][i])), root(int(labels[1][j]))
+                    if p != q:
+                        up[p] = q
+                        found.append((int(ids[0][i]), int(ids[1][j])))
+            a, c = ([x[k] for x in found] for k in (0, 1))
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    return [x.values.to_numpy() for x in column]
+
+
+def _block_links(open_: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Links in large buckets: blocks of outsiders meet blocks of members, sets and all."""
+    ids = stored(open_.select("id").distinct(), "ids")
+    sets = stored(only(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids).mapInArrow(_setter(shingle), "id long, shingles array<long>"), "sets")
+    dealt = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).cast("int"))
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        one = F.struct("id", "label", "shingles")
+        return rows.join(sets, "id").groupBy("key", "block").agg(F.collect_list(one).alias(name)).select("key", name)
+
+    met = blocks(dealt.where("label <> main"), "left").join(blocks(dealt, "right"), "key").select("left", "right")
+    return met.repartition().mapInArrow(_linker(num, den), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per document; links need ``num/den`` of the union shared."""
+    bound_batches(docs.sparkSession)
     sig = stored(sign(docs, shingle), "signed")
     known = sig.where("doc_id is not null and n_shingles > 0")
     firsts = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "firsts")
@@ -159,25 +221,21 @@ def near_duplicates(docs: DataFrame, shingle: int, num: int, den: int) -> DataFr
     hubs = members.groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("id")).alias("neg"))).alias("m")).select("key", (-F.col("m.neg")).alias("hub"))
     pairs = members.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = stored(_confirmed(pairs, reps, docs, shingle, num, den), "links")
-    tried = stored(hubs.select("key", F.col("hub").alias("id")), "tried")
     labels = components(links)
-    while True:
-        at = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "weight", F.coalesce("label", "id").alias("label"))
-        # Per bucket: its components with their sizes; the largest needs no tries of its own.
-        parts = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label")).alias("m")).where("parts > 1").select("key", F.col("m.label").alias("main"))
-        open_ = stored(at.join(main, "key"), "open")
-        left = open_.where("label <> main").join(tried, ["key", "id"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("weight").desc(), "id"))
-        turn = stored(left.withColumn("r", rank).where(F.col("r") <= HUBS).select("key", F.col("id").alias("hub"), F.col("label").alias("hub_label")), "turn")
-        if turn.isEmpty():
-            break
-        pairs = open_.join(turn, "key").where("label <> hub_label").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        more = stored(_confirmed(pairs, reps, docs, shingle, num, den), "links")
-        tried = stored(tried.unionByName(turn.select("key", F.col("hub").alias("id"))), "tried")
-        if not more.isEmpty():
-            links = stored(links.unionByName(more), "links")
-            labels = components(links)
+    at = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    parts = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"))
+    # Per bucket: its size, largest component and a mark of its members; buckets with the same members are one.
+    whole = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.bit_xor("mark").alias("mark"), F.max(F.struct("n", "label")).alias("m")).where("parts > 1")
+    once = whole.groupBy("mark", "size").agg(F.min(F.struct("key", F.col("m.label").alias("main"))).alias("k")).select("k.key", "k.main", "size")
+    open_ = stored(at.join(once, "key"), "open")
+    few = open_.where(F.col("size") <= SMALL)
+    other = few.where("label <> main").select("key", F.col("id").alias("other"), F.col("label").alias("other_label"))
+    pairs = few.join(other, "key").where("label <> other_label").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    links = links.unionByName(_confirmed(pairs, reps, docs, shingle, num, den))
+    many = open_.where(F.col("size") > SMALL)
+    if not many.isEmpty():
+        links = links.unionByName(_block_links(many, docs, shingle, num, den))
+    labels = components(stored(links, "links"))
     top = firsts.join(labels, firsts.rep == labels.node, "left").select("set_key", F.coalesce("label", "rep").alias("top"))
     return sig.join(top, "set_key", "left").select(
         "doc_id", "n_shingles",
