@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm.components import components
 from sievework.llm.hashing import mix, window_hashes, word_hashes
+from sievework.operators.bounded import only
 from sievework.session import bound_batches, stored, table
 
 BANDS, ROWS = 32, 6
@@ -40,8 +41,6 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SMALL = 8
 BLOCK = 128
-#: More ids than this are joined by a shuffle; up to this they are broadcast (16 bytes each).
-BROADCAST_IDS = 1_000_000
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(77003))
 _A = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * _U(2) + _U(1)
@@ -113,13 +112,6 @@ def sign(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signer(n), SIGNED)
 
 
-def only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids`` (one column, distinct); broadcast only up to BROADCAST_IDS."""
-    col = ids.columns[0]
-    side = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    return df.join(side, df[key] == side[col], "left_semi")
-
-
 def expected_collision(n: str, m: str):
     """Chance that a register of two sets is equal though their minima differ (HyperMinHash's constant)."""
     a, b = F.col(n).cast("double"), F.col(m).cast("double")
@@ -199,10 +191,12 @@ def _block_links(open_: DataFrame, docs: DataFrame, shingle: int, num: int, den:
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         one = F.struct("id", "label", "shingles")
-        return rows.join(sets, "id").groupBy("key", "block").agg(F.collect_list(one).alias(name)).select("key", name)
+        return rows.join(sets, "id").groupBy("key", "size", "block").agg(F.collect_list(one).alias(name))
 
-    met = blocks(dealt.where("label <> main"), "left").join(blocks(dealt, "right"), "key").select("left", "right")
-    return met.repartition().mapInArrow(_linker(num, den), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    # A bucket's blocks are dealt apart: the left ones go to each block on the right.
+    left = blocks(dealt.where("label <> main"), "left").select("key", "left", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("block"))
+    met = left.join(blocks(dealt, "right").select("key", "block", "right"), ["key", "block"]).select("left", "right")
+    return met.mapInArrow(_linker(num, den), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
