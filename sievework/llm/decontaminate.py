@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.llm.hashing import window_hashes, word_hashes
+from sievework.operators.bounded import only
 from sievework.session import bound_batches, stored, table
 
 SEED_WORDS = 3
@@ -155,8 +156,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE
     met = hits.join(seeds, "gram").groupBy("doc_key", "item_key").agg(F.collect_list(F.struct("pos", "item_pos")).alias("hits"))
     per_doc = met.join(items, "item_key").groupBy("doc_key").agg(F.collect_list(F.struct("item_id", "text", "hits")).alias("items"))
     per_doc = stored(per_doc, "met")
-    # Candidate documents only: Spark broadcasts their keys if they are few, or deals both sides.
-    full = d.join(per_doc, "doc_key").select("doc_id", "text", "items")
+    # Only the texts of candidate documents travel (all, once their keys are too many to broadcast).
+    full = only(d, "doc_key", per_doc.select(F.col("doc_key").alias("k"))).join(per_doc, "doc_key").select("doc_id", "text", "items")
     scored = full.mapInArrow(_aligner(least), SCORED)
     best = F.max_by(F.struct("score", "end_word", "n_seeds"), F.struct("score", -F.col("end_word"))).alias("b")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
