@@ -1,14 +1,18 @@
 """Byte-level BPE by higher-order functions.
 
-The ranks become a literal of the plan: an open-addressed array of longs that maps a pair of token ids to
-the rank of their merge (two places per pair, so a lookup reads at most two). A word's bytes are an array
-of ids; ``aggregate`` folds merges over it, always the pair of the lowest rank, leftmost first, and keeps the
-array of pair ranks up to date with two lookups per merge. Decoding concatenates the tokens' bytes.
+The ranks become a literal of the plan: an array of longs that maps a pair of token ids to the rank of their merge.
+Pairs with the same left token are a row, and rows are laid over one another where they don't collide, so a lookup is
+one read at (the row's offset + the right token). A word's bytes are an array of ids; ``aggregate`` folds merges over
+it, always the pair of the lowest rank, leftmost first, and keeps the array of pair ranks up to date with two lookups
+per merge. Decoding concatenates the tokens' bytes.
 
-Words are counted over the whole corpus; for each of ``SLOTS`` hash slots the most frequent word is encoded
-once, and those results are a literal too (its size is bounded by ``SLOTS``, whatever the corpus). A word of a
-text is taken from its slot or, where another word holds the slot, folded in place by the same expression, so
-no word occurrence is ever shuffled and every text gives the same ids whatever the slots hold.
+Words are counted over the whole corpus; the ``WAYS`` most frequent words of each of ``SETS`` hash sets are encoded
+once, and the result is a literal too (its size is bounded by WAYS x SETS, whatever the corpus). A word of a text is
+taken from its set or, where more frequent words fill the set, folded in place by the same expression, so no word
+occurrence is ever shuffled and every text gives the same ids whatever the sets hold.
+
+Ids are carried as strings: a character of that code point and a NUL for each id, so that UTF-16LE bytes of the
+string are the ids as little-endian 32-bit integers (ids stay below 0xD800).
 
 Defined cases: null text is empty: no ids, the digests of no bytes; texts are taken whole; a single word of n
 bytes costs up to n merges over arrays of n, so words of 100,000 letters are slow but exact; null doc_id passes
@@ -21,17 +25,19 @@ import base64
 import uuid
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sievework.session import table
+from sievework.session import stored, table
 
-SLOTS = 1 << 18
-_BITS, _RANK_BITS = 17, 17
-#: Multipliers of the two hashes; products of 32-bit keys stay below 2^63.
-_M = (1_181_783_497, 1_622_650_073)
-_HALF = 1 << _BITS
+SETS, WAYS = 1 << 18, 4
+_NONE = 1 << 17  # above every rank
+_SPAN, _ROW = 1 << 20, 1 << 16
+#: Starts the ids of a word that was folded in place; no id has this code point.
+_OWN = "\uffff"
 
 
 @lru_cache(maxsize=4)
@@ -51,24 +57,25 @@ def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
-def _place(key: int, which: int) -> int:
-    return ((key * _M[which]) >> 24) % _HALF + which * _HALF
-
-
-def merge_table(ranks: dict[bytes, int]) -> list[int]:
-    """Cuckoo table of ``key << 17 | rank``; -1 is an empty place."""
-    out = [-1] * (2 * _HALF)
+def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(offset of each left token's row, the table): an entry is ``left << 17 | rank``."""
+    rows: dict[int, list[tuple[int, int]]] = {}
     for (a, b), r in merge_pairs(ranks).items():
-        item, which = ((a << 16 | b) << _RANK_BITS) | r, 0
-        for _ in range(500):
-            at = _place(item >> _RANK_BITS, which)
-            item, out[at] = out[at], item
-            if item < 0:
+        rows.setdefault(a, []).append((b, r))
+    offsets = np.zeros(max(ranks.values()) + 1, np.int32)
+    out = np.full(_SPAN + _ROW, 1 << 62, np.int64)
+    rng = np.random.Generator(np.random.PCG64(5))
+    for a in sorted(rows, key=lambda a: -len(rows[a])):
+        right, rank = np.array(rows[a]).T
+        for _ in range(10_000):
+            at = int(rng.integers(0, _SPAN)) + right
+            if (out[at] == 1 << 62).all():
                 break
-            which = 1 if at < _HALF else 0
         else:
             raise ValueError("the merge table is too small for these ranks")
-    return out
+        offsets[a] = at[0] - right[0]
+        out[at] = (a << 17) + rank
+    return offsets, out
 
 
 class Codec:
@@ -77,14 +84,17 @@ class Codec:
     def __init__(self, spark: SparkSession, path: str, pattern: str) -> None:
         self.spark, self.pattern = spark, "(?U)" + pattern
         ranks = load_ranks(path)
-        if max(ranks.values()) >= 1 << 16:
-            raise ValueError("ids of at most 16 bits are supported")
+        if max(ranks.values()) >= 0xD800:
+            raise ValueError("ids below 0xD800 are supported")
         by_id = {r: t for t, r in ranks.items()}
-        vocab = [{"le": i.to_bytes(4, "little").hex().upper(), "raw": by_id[i].hex().upper()} if i in by_id else None for i in range(max(by_id) + 1)]
+        ids = range(max(by_id) + 1)
+        offsets, merges = merge_table(ranks)
         tag = uuid.uuid4().hex[:8]
-        self.merges = self._literal(f"sievework_merges_{tag}", "array<bigint>", pa.array([merge_table(ranks)], pa.list_(pa.int64())))
-        kind = pa.list_(pa.struct([("le", pa.string()), ("raw", pa.string())]))
-        self.vocab = self._literal(f"sievework_vocab_{tag}", "array<struct<le:string,raw:string>>", pa.array([vocab], kind))
+        self.offsets = self._literal(f"sievework_offsets_{tag}", "array<int>", pa.array([offsets], pa.list_(pa.int32())))
+        self.merges = self._literal(f"sievework_merges_{tag}", "array<bigint>", pa.array([merges], pa.list_(pa.int64())))
+        strings = pa.list_(pa.string())
+        self.chars = self._literal(f"sievework_chars_{tag}", "array<string>", pa.array([[f"{chr(i)}\0" for i in ids]], strings))
+        self.raw = self._literal(f"sievework_raw_{tag}", "array<string>", pa.array([[by_id[i].hex() if i in by_id else "" for i in ids]], strings))
         self.bytes = self._literal(f"sievework_bytes_{tag}", "array<int>", pa.array([[ranks[bytes([i])] for i in range(256)]], pa.list_(pa.int32())))
 
     def _literal(self, name: str, kind: str, value: pa.Array) -> Column:
@@ -102,70 +112,90 @@ class Codec:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def rank(self, a: Column, b: Column) -> Column:
-        key = a.cast("long") * 65536 + b
-        at = lambda w: F.get(self.merges, (F.shiftright(key * _M[w], 24).bitwiseAND(_HALF - 1) + w * _HALF).cast("int"))
-        hit = lambda w: F.shiftright(at(w), _RANK_BITS) == key
-        low = (1 << _RANK_BITS) - 1
-        return F.when(hit(0), at(0).bitwiseAND(low).cast("int")).when(hit(1), at(1).bitwiseAND(low).cast("int"))
+        """Rank of a pair's merge; ``_NONE`` or more (or null past the end) where it has none."""
+        return (F.get(self.merges, F.get(self.offsets, a) + b) - a.cast("long") * _NONE).bitwiseAND((1 << 63) - 1)
 
     def ids(self, word: Column) -> Column:
         """Token ids of a word, by folding its ranked merges."""
-        chars = F.array_remove(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), "")
-        start = F.transform(chars, lambda c: F.get(self.bytes, F.ascii(c)))
-        ranks = lambda p: F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: self.rank(a, b))
-        let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+        letters = F.array_remove(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), "")
+        start = F.transform(letters, lambda c: F.get(self.bytes, F.ascii(c)))
+        rest = F.lit(1 << 30)
+        flat = lambda *parts: F.flatten(F.array(*parts))  # noqa: E731  (concat of arrays is slower)
+        none = F.array().cast("array<bigint>")
         state = lambda p, r: F.struct(p.alias("p"), r.alias("r"), F.array_position(r, F.array_min(r)).cast("int").alias("at"))
 
         def merge(s: Column) -> Column:
             """Joins the pair at ``at``; only the ranks beside it change (the last entry is always null)."""
             i = s.at
-            token = F.get(s.r, i - 1)
-            left = F.when(i > 1, F.array(self.rank(F.get(s.p, i - 2), token))).otherwise(F.array().cast("array<int>"))
-            p = F.concat(F.slice(s.p, F.lit(1), i - 1), F.array(token), F.slice(s.p, i + 2, F.size(s.p)))
-            r = F.concat(F.slice(s.r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, F.array(self.rank(token, F.get(s.p, i + 1))), F.slice(s.r, i + 2, F.size(s.r)))
-            return let(F.struct(p.alias("p"), r.alias("r")), lambda x: state(x.p, x.r))
-
-        first = let(start, lambda p: let(ranks(p), lambda r: state(p, r)))
-        # An exact type for both branches: the position is null once no pair merges.
+            token = F.get(s.r, i - 1).cast("int")
+            left = F.when(i > 1, F.array(self.rank(F.get(s.p, i - 2), token))).otherwise(none)
+            p = flat(F.slice(s.p, F.lit(1), i - 1), F.array(token), F.slice(s.p, i + 2, rest))
+            r = flat(F.slice(s.r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, F.array(self.rank(token, F.get(s.p, i + 1))), F.slice(s.r, i + 2, rest))
+            return _let(F.struct(p.alias("p"), r.alias("r")), lambda x: state(x.p, x.r))
+
+        ranks = lambda p: F.zip_with(p, F.slice(p, F.lit(2), rest), self.rank)
+        first = _let(start, lambda p: _let(ranks(p), lambda r: state(p, r)))
         return F.aggregate(
-            F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1))),
+            F.sequence(F.lit(1), F.octet_length(word)),
             first,
-            lambda s, _: F.when(s.at.isNull() | (s.at == 0), s).otherwise(merge(s)),
+            lambda s, _: F.when(F.get(s.r, s.at - 1) < _NONE, merge(s)).otherwise(s),
             lambda s: s.p,
         )
 
-    def encoded(self, word: Column) -> Column:
-        """``ids`` as the hex of little-endian 32-bit integers and ``out``, the hex of the decoded bytes."""
-        got = F.transform(self.ids(word), lambda i: F.get(self.vocab, i))
-        let = F.transform(F.array(got), lambda g: F.struct(F.array_join(F.transform(g, lambda x: x.le), "").alias("ids"), F.array_join(F.transform(g, lambda x: x.raw), "").alias("out")))
-        return F.get(let, F.lit(0))
+    def folded(self, word: Column) -> Column:
+        """A word's ids as characters."""
+        return F.array_join(F.transform(self.ids(word), lambda i: F.get(self.chars, i)), "")
+
+    def decoded(self, chars: Column) -> Column:
+        """Bytes of ids given as characters, as a string (whole words are valid UTF-8)."""
+        each = F.sequence(F.lit(1), F.length(chars) - 1, F.lit(2))
+        raw = F.array_join(F.transform(each, lambda i: F.get(self.raw, F.ascii(F.substr(chars, i, F.lit(1))))), "")
+        return F.decode(F.unhex(raw), "UTF-8")
 
     @staticmethod
-    def slot(word: Column, slots: int) -> Column:
-        return F.xxhash64(word).bitwiseAND(slots - 1).cast("int")
+    def home(word: Column, sets: int, way: int = 0) -> Column:
+        return F.xxhash64(word).bitwiseAND(sets - 1).cast("int") * WAYS + way
 
-    def common_words(self, docs: DataFrame, slots: int = SLOTS) -> Column:
-        """The literal of encoded words: the most frequent word of each slot, counted over all texts."""
-        if slots & (slots - 1):
-            raise ValueError("slots must be a power of two")
+    def common_words(self, docs: DataFrame, sets: int = SETS) -> tuple[Column, Column]:
+        """Literals of words and their ids: the most frequent of each hash set, counted over all texts."""
+        if sets & (sets - 1):
+            raise ValueError("sets must be a power of two")
         counts = docs.select(F.explode(self.words(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        best = counts.groupBy(self.slot(F.col("w"), slots).alias("slot")).agg(F.max(F.struct("n", "w")).alias("b"))
-        coded = best.select("slot", F.col("b.w").alias("w"), self.encoded(F.col("b.w")).alias("e")).select("slot", F.struct("w", "e.ids", "e.out").alias("x"))
-        every = self.spark.range(slots).select(F.col("id").cast("int").alias("slot")).join(coded, "slot", "left")
-        one = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "x"))), lambda y: y.x).alias("v"))
-        return self._variable(f"sievework_words_{uuid.uuid4().hex[:8]}", "array<struct<w:string,ids:string,out:string>>", one)
-
-    def encode(self, docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-        """Adds ``ids_hex`` (little-endian 32-bit ids) and ``out_hex`` (decoded bytes) to documents."""
-        common = self.common_words(docs, slots)
+        home = self.home(F.col("w"), sets)
+        rank = F.row_number().over(Window.partitionBy("home").orderBy(F.col("n").desc(), "w"))
+        best = counts.withColumn("home", home).withColumn("k", rank).where(F.col("k") <= WAYS)
+        coded = best.select((F.col("home") + F.col("k") - 1).alias("place"), "w", self.folded(F.col("w")).alias("c"))
+        coded = coded.where(self.decoded(F.col("c")) == F.col("w"))  # what decodes to itself is decoded for all texts
+        path = stored(coded, "common-words")
+        places = self.spark.range(sets * WAYS).select(F.col("id").cast("int").alias("place"))
+        name, out = f"sievework_words_{uuid.uuid4().hex[:8]}", []
+        for col in ("w", "c"):
+            every = places.join(path.select("place", F.col(col).alias("x")), "place", "left")
+            one = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda y: y.x).alias("v"))
+            out.append(self._variable(f"{name}_{col}", "array<string>", one))
+        return out[0], out[1]
+
+    def encode(self, docs: DataFrame, sets: int = SETS) -> DataFrame:
+        """Adds ``ids_chars`` (see above) and ``decoded`` to documents (in place of columns of those names)."""
+        words, codes = self.common_words(docs, sets)
 
         def one(w: Column) -> Column:
-            held = F.transform(F.array(F.get(common, self.slot(w, slots))), lambda s: F.when(s.w == w, F.struct(s.ids.alias("ids"), s.out.alias("out"))).otherwise(self.encoded(w)))
-            return F.get(held, F.lit(0))
+            found = F.when(F.get(words, self.home(w, sets)) == w, F.get(codes, self.home(w, sets)))
+            for k in range(1, WAYS):
+                found = found.when(F.get(words, self.home(w, sets, k)) == w, F.get(codes, self.home(w, sets, k)))
+            return found.otherwise(F.concat(F.lit(_OWN), self.folded(w)))
+
+        keep = [c for c in docs.columns if c not in ("ids_chars", "decoded")]
+        a = docs.select(*keep, self.words(F.col("text")).alias("_sw_words"))
+        b = a.select("*", F.transform("_sw_words", one).alias("_sw_ids"))
+        # A word that is the same in its set has been decoded there; the others are decoded here, from their ids.
+        back = F.zip_with("_sw_words", "_sw_ids", lambda w, c: F.when(c.startswith(_OWN), self.decoded(F.replace(c, F.lit(_OWN), F.lit("")))).otherwise(w))
+        return b.select(*keep, F.replace(F.array_join("_sw_ids", ""), F.lit(_OWN), F.lit("")).alias("ids_chars"), F.array_join(back, "").alias("decoded"))
+
 
-        got = docs.select("*", F.transform(self.words(F.col("text")), one).alias("_sw_got"))
-        join = lambda k: F.array_join(F.transform("_sw_got", lambda x: x[k]), "")
-        return got.select(*docs.columns, join("ids").alias("ids_hex"), join("out").alias("out_hex"))
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def public_codec(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> Codec:
@@ -178,9 +208,9 @@ def digests(docs: DataFrame, codec: Codec) -> DataFrame:
     got = codec.encode(docs.select("doc_id", "text"))
     return got.select(
         "doc_id",
-        (F.length("ids_hex") / 8).cast("long").alias("n_tokens"),
-        F.sha2(F.unhex("ids_hex"), 256).alias("ids_sha256"),
-        F.sha2(F.unhex("out_hex"), 256).alias("decoded_sha256"),
+        (F.length("ids_chars") / 2).cast("long").alias("n_tokens"),
+        F.sha2(F.encode("ids_chars", "UTF-16LE"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
