@@ -148,8 +148,8 @@ class Codec:
 
     def decoded(self, chars: Column) -> Column:
         """Bytes of ids given as characters, as a string (whole words are valid UTF-8)."""
-        each = F.sequence(F.lit(1), F.length(chars) - 1, F.lit(2))
-        raw = F.array_join(F.transform(each, lambda i: F.get(self.raw, F.ascii(F.substr(chars, i, F.lit(1))))), "")
+        ids = F.filter(F.split(chars, ""), lambda _, i: i % 2 == 0)
+        raw = F.array_join(F.transform(ids, lambda c: F.coalesce(F.get(self.raw, F.ascii(c)), F.lit(""))), "")
         return F.decode(F.unhex(raw), "UTF-8")
 
     @staticmethod
@@ -165,8 +165,8 @@ class Codec:
         rank = F.row_number().over(Window.partitionBy("home").orderBy(F.col("n").desc(), "w"))
         best = counts.withColumn("home", home).withColumn("k", rank).where(F.col("k") <= WAYS)
         coded = best.select((F.col("home") + F.col("k") - 1).alias("place"), "w", self.folded(F.col("w")).alias("c"))
-        coded = coded.where(self.decoded(F.col("c")) == F.col("w"))  # what decodes to itself is decoded for all texts
-        path = stored(coded, "common-words")
+        # Stored first, or the filter would fold again. What decodes to itself here is decoded for all texts.
+        path = stored(coded, "common-words").where(self.decoded(F.col("c")) == F.col("w"))
         places = self.spark.range(sets * WAYS).select(F.col("id").cast("int").alias("place"))
         name, out = f"sievework_words_{uuid.uuid4().hex[:8]}", []
         for col in ("w", "c"):
@@ -189,7 +189,7 @@ class Codec:
         a = docs.select(*keep, self.words(F.col("text")).alias("_sw_words"))
         b = a.select("*", F.transform("_sw_words", one).alias("_sw_ids"))
         # A word that is the same in its set has been decoded there; the others are decoded here, from their ids.
-        back = F.zip_with("_sw_words", "_sw_ids", lambda w, c: F.when(c.startswith(_OWN), self.decoded(F.replace(c, F.lit(_OWN), F.lit("")))).otherwise(w))
+        back = F.zip_with("_sw_words", "_sw_ids", lambda w, c: F.when(c.startswith(_OWN), _let(F.replace(c, F.lit(_OWN), F.lit("")), self.decoded)).otherwise(w))
         return b.select(*keep, F.replace(F.array_join("_sw_ids", ""), F.lit(_OWN), F.lit("")).alias("ids_chars"), F.array_join(back, "").alias("decoded"))
 
 
