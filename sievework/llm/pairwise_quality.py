@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.session import table
+from sievework.session import bound_batches, table
 
 MAX_TRAIN = 10_000
 MAX_PAIRS = 100_000
@@ -169,8 +169,9 @@ def _scorer(model: Model):
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and the score of each document, in one pass without a shuffle."""
-    d = docs.select(*keep, F.col("text").alias("_scored_text"))
+    """``keep`` columns (a ``score`` among them is replaced) and the score of each document, without a shuffle."""
+    bound_batches(docs.sparkSession)
+    d = docs.select(*(k for k in keep if k != "score"), F.col("text").alias("_scored_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
     return d.mapInArrow(_scorer(model), f"{kinds}, score double")
 
