@@ -48,10 +48,11 @@ def rates(df: DataFrame, slice_: str) -> DataFrame:
     return c.join(s, [slice_, "y_true"]).join(t, slice_).select(slice_, "y_true", "y_pred", (F.col("support") / F.col("total")).alias("prior"), (F.col("n") / F.col("support")).alias("cond"))
 
 
-def macro_f1_cells(r: DataFrame, slice_: str, ref: str, labels: int) -> DataFrame:
+def macro_f1_cells(r: DataFrame, slice_: str, ref: str, labels: list[str]) -> DataFrame:
     """Per slice: macro F1 with (prior, conditional) from (ref, ref), (slice, ref), (ref, slice), (slice, slice)."""
     rr = r.where(F.col(slice_) == ref).select("y_true", "y_pred", F.col("prior").alias("p0"), F.col("cond").alias("c0"))
-    grid = r.select(slice_).distinct().join(r.select("y_true").distinct(), how="cross").join(r.select("y_pred").distinct(), how="cross")  # slices x classes^2, all few
+    every = F.array(*map(F.lit, labels))
+    grid = r.select(slice_).distinct().withColumn("y_true", F.explode(every)).withColumn("y_pred", F.explode(every))
     own = r.select(slice_, "y_true", "y_pred", F.col("cond").alias("c1"))
     prior1 = r.select(slice_, "y_true", F.col("prior").alias("p1")).distinct()
     prior0 = rr.select("y_true", "p0").distinct()
@@ -59,7 +60,7 @@ def macro_f1_cells(r: DataFrame, slice_: str, ref: str, labels: int) -> DataFram
     out = None
     for cell, (p, c) in {"a": ("p0", "c0"), "b": ("p1", "c0"), "c": ("p0", "c1"), "d": ("p1", "c1")}.items():
         got = g.groupBy(slice_, F.col("y_pred").alias("label")).agg(F.sum(F.col(p) * F.col(c)).alias("rho"), F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col(p) * F.col(c)).otherwise(0.0)).alias("tp"), F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col(p)).otherwise(0.0)).alias("pi"))
-        f1 = got.groupBy(slice_).agg((F.sum(ratio(2 * F.col("tp"), F.col("pi") + F.col("rho"))) / labels).alias(cell))
+        f1 = got.groupBy(slice_).agg((F.sum(ratio(2 * F.col("tp"), F.col("pi") + F.col("rho"))) / len(labels)).alias(cell))
         out = f1 if out is None else out.join(f1, slice_)
     return out
 
