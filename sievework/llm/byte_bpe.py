@@ -22,7 +22,6 @@ through; repeated rows get a row each; extra columns are ignored; an empty table
 from __future__ import annotations
 
 import base64
-import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -79,7 +78,11 @@ def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Codec:
-    """Literals of one rank file, as session variables of ``spark``."""
+    """Literals of one rank file, as session variables of ``spark``.
+
+    Names are fixed, so a later codec takes the place of an earlier one and frees its values; frames made before keep
+    the values that they were made with.
+    """
 
     def __init__(self, spark: SparkSession, path: str, pattern: str) -> None:
         self.spark, self.pattern = spark, "(?U)" + pattern
@@ -89,13 +92,12 @@ class Codec:
         by_id = {r: t for t, r in ranks.items()}
         ids = range(max(by_id) + 1)
         offsets, merges = merge_table(ranks)
-        tag = uuid.uuid4().hex[:8]
-        self.offsets = self._literal(f"sievework_offsets_{tag}", "array<int>", pa.array([offsets], pa.list_(pa.int32())))
-        self.merges = self._literal(f"sievework_merges_{tag}", "array<bigint>", pa.array([merges], pa.list_(pa.int64())))
+        self.offsets = self._literal("sievework_offsets", "array<int>", pa.array([offsets], pa.list_(pa.int32())))
+        self.merges = self._literal("sievework_merges", "array<bigint>", pa.array([merges], pa.list_(pa.int64())))
         strings = pa.list_(pa.string())
-        self.chars = self._literal(f"sievework_chars_{tag}", "array<string>", pa.array([[f"{chr(i)}\0" for i in ids]], strings))
-        self.raw = self._literal(f"sievework_raw_{tag}", "array<string>", pa.array([[by_id[i].hex() if i in by_id else "" for i in ids]], strings))
-        self.bytes = self._literal(f"sievework_bytes_{tag}", "array<int>", pa.array([[ranks[bytes([i])] for i in range(256)]], pa.list_(pa.int32())))
+        self.chars = self._literal("sievework_chars", "array<string>", pa.array([[f"{chr(i)}\0" for i in ids]], strings))
+        self.raw = self._literal("sievework_raw", "array<string>", pa.array([[by_id[i].hex() if i in by_id else "" for i in ids]], strings))
+        self.bytes = self._literal("sievework_bytes", "array<int>", pa.array([[ranks[bytes([i])] for i in range(256)]], pa.list_(pa.int32())))
 
     def _literal(self, name: str, kind: str, value: pa.Array) -> Column:
         return self._variable(name, kind, self.spark.createDataFrame(pa.table({"v": value})))
@@ -153,8 +155,8 @@ class Codec:
         return F.decode(F.unhex(raw), "UTF-8")
 
     @staticmethod
-    def home(word: Column, sets: int, way: int = 0) -> Column:
-        return F.xxhash64(word).bitwiseAND(sets - 1).cast("int") * WAYS + way
+    def home(word: Column, sets: int) -> Column:
+        return F.xxhash64(word).bitwiseAND(sets - 1).cast("int") * WAYS
 
     def common_words(self, docs: DataFrame, sets: int = SETS) -> tuple[Column, Column]:
         """Literals of words and their ids: the most frequent of each hash set, counted over all texts."""
@@ -168,7 +170,7 @@ class Codec:
         # Stored first, or the filter would fold again. What decodes to itself here is decoded for all texts.
         path = stored(coded, "common-words").where(self.decoded(F.col("c")) == F.col("w"))
         places = self.spark.range(sets * WAYS).select(F.col("id").cast("int").alias("place"))
-        name, out = f"sievework_words_{uuid.uuid4().hex[:8]}", []
+        name, out = "sievework_words", []
         for col in ("w", "c"):
             every = places.join(path.select("place", F.col(col).alias("x")), "place", "left")
             one = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda y: y.x).alias("v"))
@@ -180,10 +182,13 @@ class Codec:
         words, codes = self.common_words(docs, sets)
 
         def one(w: Column) -> Column:
-            found = F.when(F.get(words, self.home(w, sets)) == w, F.get(codes, self.home(w, sets)))
-            for k in range(1, WAYS):
-                found = found.when(F.get(words, self.home(w, sets, k)) == w, F.get(codes, self.home(w, sets, k)))
-            return found.otherwise(F.concat(F.lit(_OWN), self.folded(w)))
+            def at(h: Column) -> Column:
+                found = F.when(F.get(words, h) == w, F.get(codes, h))
+                for k in range(1, WAYS):
+                    found = found.when(F.get(words, h + k) == w, F.get(codes, h + k))
+                return found.otherwise(F.concat(F.lit(_OWN), self.folded(w)))
+
+            return _let(self.home(w, sets), at)
 
         keep = [c for c in docs.columns if c not in ("ids_chars", "decoded")]
         a = docs.select(*keep, self.words(F.col("text")).alias("_sw_words"))
