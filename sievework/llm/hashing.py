@@ -43,13 +43,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _block_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of the words of at most BLOCK bytes."""
+    h, starts, _ = located(data)
+    return h, starts
+
+
+def located(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the words of at most BLOCK bytes."""
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[data] * _POW[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _IPOW[starts] + (ends - starts).astype(np.uint64)), starts
+    return mix((sums[ends] - sums[starts]) * _IPOW[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
 def word_hashes(column: pa.Array) -> Iterator[np.ndarray]:

@@ -10,8 +10,8 @@ its level, packed, after a directory of the ones before every 512 bits; so ``acc
 written by Spark (part, shard, tokens before the shard in its part, image), whose commit survives lost tasks.
 
 The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks between ASCII
-white space, one after another; each different chunk is encoded by the tokenizers library once per worker (its
-memory of chunks is bounded by ``CACHE``). Tests hold this against encoding whole texts.
+white space, one after another; each different chunk is encoded by the tokenizers library once per worker (which
+remembers at most about ``CACHE`` of them). Tests hold this against encoding whole texts.
 
 Defined cases: null text is empty and has the end id only; order is by (doc_id with nulls first, a hash of the text),
 so repeated rows and null ids have a place of their own; a document longer than a shard is a shard; texts are taken
@@ -24,7 +24,6 @@ import os
 import struct
 import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -35,12 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievework.llm.hashing import BLOCK, located
 from sievework.session import bound_batches, new_path, stored, table
 
 END_ID = 2
 BITS = 16
 SHARD_TOKENS = 1 << 19
-CACHE = 250_000
+CACHE = 3_000_000
 BATCH_BYTES = 1 << 20
 #: Chunks given to the library at once; its results are large.
 BLOCK_CHUNKS = 4096
@@ -196,8 +196,10 @@ def unpack(image: bytes | memoryview) -> tuple[WaveletMatrix, list[int | None],
 class Encoder:
     """Ids of whole texts (UTF-8 bytes), as little-endian 16-bit integers, with the end id.
 
-    Up to ``CACHE`` chunks are remembered. A new chunk that is a known one in other case, or with one full stop or
-    comma after a letter, is put together from what is known: the tokenizer lower-cases, and splits there.
+    Texts are hashed in blocks; a block's different chunks are looked up in sorted arrays of (hash, place, length) over
+    one array of ids, new ones go to the library, and the block's ids are one gather. Chunks are told apart by 64-bit
+    hashes that take A-Z as a-z, as the tokenizer does; texts with the start of a special token's string, which it does
+    not lower-case, are encoded directly.
     """
 
     def __init__(self, path: str, end_id: int = END_ID) -> None:
@@ -209,60 +211,76 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << BITS:
             raise ValueError("ids of at most 16 bits are supported")
-        self.end = struct.pack("<H", end_id)
-        self.stops = {s.encode(): self._ids(s) for s in (".", ",")}
-        self.known: dict[bytes, bytes] = {}
+        self.end_id = end_id
+        self._clear()
 
-    def _ids(self, text: str) -> bytes:
-        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def _clear(self) -> None:
+        self.keys, self.places, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.store, self.used = np.zeros(1 << 16, "<u2"), 0
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        get = self.known.get
-        chunks = [t.split() for t in texts]
-        found = [list(map(get, c)) for c in chunks]
-        new = {c[i] for c, f in zip(chunks, found, strict=True) if None in f for i, x in enumerate(f) if x is None}
-        if new:
-            fresh = self._fresh(new)
-            for c, f in zip(chunks, found, strict=True):
-                if None in f:
-                    f[:] = [fresh[w] if x is None else x for w, x in zip(c, f, strict=True)]
-            if len(self.known) < CACHE:
-                self.known.update(fresh)
-        return [b"".join(f) + self.end for f in found]
-
-    def _fresh(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks that aren't known."""
-        get, stops = self.known.get, self.stops
-        out: dict[bytes, bytes] = {}
-        rest: list[tuple[bytes, bytes, bytes]] = []
-        for w in new:
-            core, tail = w, stops.get(w[-1:], b"")
-            if tail:
-                core = w[:-1]
-                if not (core[-1:].isalpha() or (core[-1:] >= b"\x80" and core.decode("utf-8")[-1].isalpha())):
-                    core, tail = w, b""
-            if core.isascii() and b"<" not in core:
-                core = core.lower()
-            ids = get(core)
-            if ids is None:
-                rest.append((w, core, tail))
+        out: list[bytes] = []
+        run: list[bytes] = []
+        size = 0
+        for t in texts:
+            alone = len(t) >= BLOCK or b"<|" in t
+            if run and (alone or size + len(t) + 1 > BLOCK):
+                out += self._block(run)
+                run, size = [], 0
+            if alone:
+                out.append(np.array([*self._direct(t), self.end_id], "<u2").tobytes())
             else:
-                out[w] = ids + tail
-        todo = list({core for _, core, _ in rest})
-        cores: dict[bytes, bytes] = {}
-        for i in range(0, len(todo), BLOCK_CHUNKS):
-            cores.update(self._encode_block(todo[i : i + BLOCK_CHUNKS]))
-        out.update((w, cores[core] + tail) for w, core, tail in rest)
-        return cores | out
-
-    def _encode_block(self, block: list[bytes]) -> dict[bytes, bytes]:
+                run.append(t)
+                size += len(t) + 1
+        return out + (self._block(run) if run else [])
+
+    def _direct(self, text: bytes) -> list[int]:
+        return self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids
+
+    def _block(self, texts: list[bytes]) -> list[bytes]:
+        raw = b" ".join(texts)
+        hashes, starts, ends = located(np.frombuffer(raw, np.uint8))
+        which, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, which)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == which[known]
+        if not known.all():
+            new = first[~known]
+            self._learn(which[~known], at[~known], [raw[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, which)
+        length = self.lengths[at][back]
+        upto = np.cumsum(length)
+        ids = self.store[np.repeat(self.places[at][back] - upto + length, length) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        bounds = np.cumsum([len(t) + 1 for t in texts])  # a text's words start before its bound
+        cut = np.concatenate(([0], upto))[np.searchsorted(starts, bounds)].tolist()
+        full = ids.tobytes()
+        end = struct.pack("<H", self.end_id)
+        got = [full[2 * i : 2 * j] + end for i, j in zip([0, *cut], cut, strict=False)]
+        if len(self.keys) > CACHE:
+            self._clear()
+        return got
+
+    def _learn(self, keys: np.ndarray, at: np.ndarray, chunks: list[bytes]) -> None:
+        pieces = []
+        for i in range(0, len(chunks), BLOCK_CHUNKS):
+            pieces += self._encode_chunks(chunks[i : i + BLOCK_CHUNKS])
+        lengths = np.array([len(x) for x in pieces], np.int64)
+        ids = np.concatenate(pieces) if pieces else np.zeros(0, "<u2")
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate((self.store, np.zeros_like(self.store)))
+        self.store[self.used : self.used + len(ids)] = ids
+        places = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        self.keys, self.places, self.lengths = np.insert(self.keys, at, keys), np.insert(self.places, at, places), np.insert(self.lengths, at, lengths)
+
+    def _encode_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
         """Chunks in one call, a blank between them; a token belongs to the chunk in which it starts."""
-        texts = [c.decode("utf-8") for c in block]
+        texts = [c.decode("utf-8") for c in chunks]
         got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        raw = array("H", got.ids).tobytes()
+        ids = np.array(got.ids, "<u2")
         starts = np.array([a for a, _ in got.offsets], np.int64)
-        cut = (2 * np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))).tolist()
-        return {c: raw[i:j] for c, i, j in zip(block, [0, *cut], cut, strict=False)}
+        cut = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])).tolist()
+        return [ids[i:j] for i, j in zip([0, *cut], cut, strict=False)]
 
 
 @lru_cache(maxsize=2)
