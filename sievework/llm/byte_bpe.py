@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from sievework.session import stored, table
 
-SETS, WAYS = 1 << 18, 4
+SETS, WAYS = 1 << 17, 4
 _NONE = 1 << 17  # above every rank
 _SPAN, _ROW = 1 << 20, 1 << 16
 #: Starts the ids of a word that was folded in place; no id has this code point.
