@@ -48,7 +48,8 @@ def char_wb_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     def of(w: Column) -> Column:
         parts = []
         for n in range(low, high + 1):
-            grams = F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i, n=n: F.substr(w, i, F.lit(n)))
+            size = F.lit(n)
+            grams = F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substr(w, i, size))  # noqa: B023
             parts.append(F.when(F.length(w) >= n, grams).otherwise(F.array(w) if n == low else none))
         return F.flatten(F.array(*parts))
 
