@@ -31,9 +31,10 @@ _NULL_ID = (1 << 63) - 1
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Null-safe row key: the id (nulls last) and a hash of the text."""
+    """Null-safe row key: the id (nulls last) and a hash of the text; the row itself is one column, so no name clashes."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_sw_id"), F.xxhash64(text).alias("_sw_h"), F.split(text, "\n").alias("_sw_lines"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("_sw_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_sw_id"), F.xxhash64(text).alias("_sw_h"), F.split(text, "\n").alias("_sw_lines"))
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -78,14 +79,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     joined = keyed.join(removals(keyed), ["_sw_id", "_sw_h"], "left")
     again = lambda x, i: (i > 0) & F.get(F.col("_sw_marks"), i - 1).ch.eqNullSafe(x.ch)
     gone = F.filter("_sw_marks", lambda x, i: ~x.here | again(x, i))
-    a = joined.select(*docs.columns, "_sw_lines", gone.alias("_sw_gone"))
+    a = joined.select("_sw_doc", "_sw_lines", gone.alias("_sw_gone"))
     places = F.flatten(F.transform("_sw_gone", lambda x: F.sequence(x.start, x.start + x.len - 1)))
     left = F.when(F.size("_sw_gone") > 0, F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_sw_lines") - 1), places), lambda i: F.get(F.col("_sw_lines"), i)), "\n"))
     removed = F.coalesce(F.aggregate("_sw_gone", F.lit(0), lambda n, x: n + x.len), F.lit(0))
-    new = F.coalesce(left, F.col("text"), F.lit("")).alias("text")
+    new = F.coalesce(left, F.col("_sw_doc.text"), F.lit("")).alias("text")
     counts = ("n_lines", "n_removed_lines", "n_removed_chunks")
     return a.select(
-        *[new if c == "text" else F.col(c) for c in docs.columns if c not in counts],
+        *[new if c == "text" else F.col(f"_sw_doc.`{c}`").alias(c) for c in docs.columns if c not in counts],
         F.size("_sw_lines").cast("long").alias("n_lines"),
         removed.cast("long").alias("n_removed_lines"),
         F.greatest(F.coalesce(F.size("_sw_gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed_chunks"),
