@@ -70,7 +70,7 @@ def word_hashes(column: pa.Array) -> Iterator[np.ndarray]:
     i = 0
     while i < n:
         j = i + 1
-        while j < n and offs[j + 1] - offs[i] + (j - i) <= BLOCK and valid[j] and valid[i]:
+        while j < n and offs[j + 1] - offs[i] + (j + 1 - i) <= BLOCK and valid[j] and valid[i]:
             j += 1
         if not valid[i]:
             yield np.zeros(0, np.uint64)

@@ -45,6 +45,12 @@ def test_hashes_tell_words_apart():
     assert len(set(seen.values())) == len(seen)
 
 
+@pytest.mark.parametrize("n", [hashing.BLOCK - 5, hashing.BLOCK - 4, hashing.BLOCK - 3, hashing.BLOCK - 2, hashing.BLOCK - 1, hashing.BLOCK])
+def test_hashes_at_the_end_of_a_block(n):
+    got = list(hashing.word_hashes(pa.array(["a b", "x" * (n - 4) + " y", "c"])))
+    assert [len(x) for x in got] == [2, 2, 1]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(40, 41), (41, 41), (None, 3)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}
