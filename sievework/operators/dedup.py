@@ -59,6 +59,6 @@ def shared_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, item_id, shared, n_doc, n_item`` of documents and benchmark items with a shingle in common."""
     d = shingled(table(spark, sf_dir, "documents"), "doc_id", "text")
     b = shingled(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    dx = d.select("doc_id", F.size("s").alias("n_doc"), F.explode("s").alias("g"))
-    bx = b.select("item_id", F.size("s").alias("n_item"), F.explode("s").alias("g"))
+    dx = d.select("doc_id", F.size("s").alias("n_doc"), F.explode_outer("s").alias("g"))
+    bx = b.select("item_id", F.size("s").alias("n_item"), F.explode_outer("s").alias("g"))
     return dx.join(bx, "g").groupBy("doc_id", "item_id", "n_doc", "n_item").agg(F.count(F.lit(1)).alias("shared"))
