@@ -45,11 +45,11 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     wrong = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("l_suppkey") % 3 + 1).cast("int"))
     pred = F.when(F.col("l_partkey") % 5 < 4, F.col("l_returnflag")).otherwise(wrong)
     probs = F.transform(F.array(*map(F.lit, LABELS)), lambda x: F.when(x == F.col("y_pred"), F.col("p_max")).otherwise((1 - F.col("p_max")) / 2))
-    t = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("y_true"), pred.alias("y_pred"), p.alias("p_max"), F.year("l_shipdate").alias("year"), (F.col("l_partkey") % 7).alias("m7"), (F.col("l_suppkey") % 11).alias("m11"))
+    t = table(spark, d, "lineitem").select((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("id"), F.col("l_returnflag").alias("y_true"), pred.alias("y_pred"), p.alias("p_max"), F.year("l_shipdate").alias("year"), (F.col("l_partkey") % 7).alias("m7"), (F.col("l_suppkey") % 11).alias("m11"))
     return t.withColumn("probs", probs).withColumn("correct", (F.col("y_true") == F.col("y_pred")).cast("int"))
 
 
-_P = """p AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS y_true,
+_P = """p AS (SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS id, l_returnflag AS y_true,
   CASE WHEN l_partkey % 5 < 4 THEN l_returnflag ELSE ['A', 'N', 'R'][l_suppkey % 3 + 1] END AS y_pred,
   0.34::DOUBLE + ((l_orderkey * 7 + l_linenumber) % 1000) * 0.00066::DOUBLE AS p_max, year(l_shipdate)::INT AS year,
   l_partkey % 7 AS m7, l_suppkey % 11 AS m11 FROM lineitem),
