@@ -492,3 +492,68 @@ def _perturbed(family: str, rate: float):
 
 for _family, _rate in (("typo", 0.05), ("ocr", 0.1), ("case", 0.1)):
     QUERIES[f"perturb_{_family}"] = _perturbed(_family, _rate)
+
+
+# ---- cascades, claims, exemplars -------------------------------------------------------------------------------
+
+TAUS_B = (0.2, 0.4, 0.6, 0.8)
+_TB = ", ".join(f"({t}::DOUBLE)" for t in TAUS_B)
+
+
+@query("joint_thresholds", f"""WITH {_P}, x AS (SELECT p_max, correct, m11 / 11.0::DOUBLE AS p_b, (m7 <> 0)::INT AS correct_b, 0.05::DOUBLE AS cost_b, tau_b FROM q, (VALUES {_TB}) t(tau_b)),
+a AS (SELECT tau_b, p_max, count(*) AS n, sum({C_MISROUTE} * (1 - correct)) AS own, sum(cost_b + CASE WHEN p_b >= tau_b THEN {C_MISROUTE} * (1 - correct_b) ELSE {C_HUMAN} END) AS arm FROM x GROUP BY 1, 2),
+g AS (SELECT tau_b, p_max AS tau_a, sum(n) OVER d AS k, sum(own) OVER d + sum(arm) OVER w - sum(arm) OVER d AS cost, sum(n) OVER w AS n FROM a WINDOW d AS (PARTITION BY tau_b ORDER BY p_max DESC ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY tau_b))
+SELECT tau_b, round(tau_a, 6) AS tau_a, k::BIGINT AS k, round(cost * 1000 / n, 5) AS cost_per_1k FROM g ORDER BY round(cost * 1000 / n, 6), k DESC, tau_b LIMIT 1""")
+def joint_thresholds(spark, d):
+    from sievework.operators import claims
+
+    p = predictions(spark, d).withColumns({"p_b": F.col("m11") / 11.0, "correct_b": (F.col("m7") != 0).cast("int"), "cost_b": F.lit(0.05)})
+    return claims.joint_thresholds(p, TAUS_B, C_MISROUTE, C_HUMAN).select("tau_b", r6("tau_a", "tau_a"), "k", F.round("cost_per_1k", 5).alias("cost_per_1k"))
+
+
+_UO = "('0x' || md5('c:' || rep || ':' || id)[1:8])::BIGINT::DOUBLE / 4294967296.0"
+
+
+@query("paired_claim", f"""WITH {_POL}, c AS (SELECT id, max(CASE WHEN policy = 'a' THEN correct END) AS x, max(CASE WHEN policy = 'a_to_arm' THEN CASE WHEN to_human THEN 1 ELSE correct END END) AS y FROM z GROUP BY 1),
+u AS (SELECT rep, y - x AS v, {_UO} AS u FROM c, range({REPS}) r(rep)), w AS (SELECT rep, v, {_W} AS w FROM u), m AS (SELECT rep, sum(w * v) / sum(w) AS mean FROM w GROUP BY 1),
+b AS (SELECT quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM m)
+SELECT 'accuracy' AS metric, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN lo > 0 THEN 'favorable' WHEN hi < 0 THEN 'adverse' ELSE 'not_established' END AS verdict FROM b""")
+def paired_claim(spark, d):
+    from sievework.operators import claims
+
+    p = policies(spark, d).where(F.col("policy").isin("a", "a_to_arm"))
+    right = F.when(F.col("to_human"), 1).otherwise(F.col("correct"))
+    w = p.groupBy("id").agg(F.max(F.when(F.col("policy") == "a", F.col("correct"))).alias("x"), F.max(F.when(F.col("policy") == "a_to_arm", right)).alias("y"))
+    got = claims.paired_claim(w, "id", {"accuracy": F.col("y") - F.col("x")}, REPS, "c")
+    return got.select("metric", r6("lo", "lo"), r6("hi", "hi"), "verdict")
+
+
+@query("exemplars", r"WITH e AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('ex:' || doc_id), doc_id) AS r FROM documents WHERE length(trim(regexp_replace(text, '\s+', ' ', 'g'))) BETWEEN 200 AND 1200) SELECT doc_id, lang FROM e WHERE r = 1")
+def exemplars(spark, d):
+    from sievework.operators import claims
+
+    return claims.exemplars(table(spark, d, "documents"), "doc_id", "lang", "text", 200, 1200, "ex").select("doc_id", "lang")
+
+
+@query("cascade_paths", f"WITH {_P} SELECT CASE WHEN p_max >= 0.6::DOUBLE THEN 'A>answered' ELSE 'A>escalated>B>answered' END AS path, count(*) AS n FROM q GROUP BY 1")
+def cascade_paths(spark, d):
+    from sievework.operators import claims
+
+    return claims.cascade_paths(predictions(spark, d), 0.6).groupBy(F.array_join("path", ">").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("as_of_events", "SELECT a.event_id, b.value FROM (SELECT * FROM events WHERE event_id % 10 = 1) a ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 10 <> 1 GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts >= b.ts")
+def as_of_events(spark, d):
+    from sievework.streaming.windows import as_of
+
+    e = table(spark, d, "events")
+    left = e.where("event_id % 10 = 1").select("event_id", "user_id", "ts")
+    right = e.where("event_id % 10 <> 1").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return as_of(left, right, "user_id", "ts", "value").select("event_id", "value")
+
+
+@query("dominance", f"WITH {_POL}, c AS (SELECT policy, avg(CASE WHEN NOT to_human AND correct = 0 THEN {C_MISROUTE} ELSE 0 END + api + CASE WHEN to_human THEN {C_HUMAN} ELSE 0 END) AS cost FROM z GROUP BY 1) SELECT a.policy, count(b.policy) AS n_beaten FROM c a LEFT JOIN c b ON a.cost < b.cost - 1e-9 GROUP BY 1")
+def dominance(spark, d):
+    e = costs.evaluate(policies(spark, d), C_MISROUTE, C_HUMAN).select("policy", (F.col("misroute") + F.col("api") + F.col("human")).alias("cost"))
+    rank = F.rank().over(Window.orderBy(F.round("cost", 9).desc()))  # a row per policy
+    return e.select("policy", (rank - 1).cast("long").alias("n_beaten"))
