@@ -22,6 +22,7 @@ through; repeated rows get a row each; extra columns are ignored; an empty table
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql.window import Window
 
 from sievework.session import stored, table
 
-SETS, WAYS = 1 << 17, 4
+SETS, WAYS = 1 << 16, 4
 _NONE = 1 << 17  # above every rank
 _SPAN, _ROW = 1 << 20, 1 << 16
 #: Starts the ids of a word that was folded in place; no id has this code point.
@@ -45,35 +46,35 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
-    """Every pair of tokens whose joined bytes are a token."""
-    out = {}
+def merge_pairs(ranks: dict[bytes, int]) -> np.ndarray:
+    """(left, right, rank) of every pair of tokens whose joined bytes are a token, sorted."""
+    out = array("I")
     for tok, r in ranks.items():
         for i in range(1, len(tok)):
             a, b = ranks.get(tok[:i]), ranks.get(tok[i:])
             if a is not None and b is not None:
-                out[a, b] = r
-    return out
+                out.extend((a, b, r))
+    pairs = np.array(out, np.int64).reshape(-1, 3)
+    return pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
 
 
 def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """(offset of each left token's row, the table): an entry is ``left << 17 | rank``."""
-    rows: dict[int, list[tuple[int, int]]] = {}
-    for (a, b), r in merge_pairs(ranks).items():
-        rows.setdefault(a, []).append((b, r))
+    pairs = merge_pairs(ranks)
+    lefts, first, size = np.unique(pairs[:, 0], return_index=True, return_counts=True)
     offsets = np.zeros(max(ranks.values()) + 1, np.int32)
     out = np.full(_SPAN + _ROW, 1 << 62, np.int64)
     rng = np.random.Generator(np.random.PCG64(5))
-    for a in sorted(rows, key=lambda a: -len(rows[a])):
-        right, rank = np.array(rows[a]).T
+    for k in np.argsort(-size, kind="stable"):
+        row = pairs[first[k] : first[k] + size[k]]
         for _ in range(10_000):
-            at = int(rng.integers(0, _SPAN)) + right
-            if (out[at] == 1 << 62).all():
+            offset = int(rng.integers(0, _SPAN))
+            if (out[offset + row[:, 1]] == 1 << 62).all():
                 break
         else:
             raise ValueError("the merge table is too small for these ranks")
-        offsets[a] = at[0] - right[0]
-        out[at] = (a << 17) + rank
+        offsets[lefts[k]] = offset
+        out[offset + row[:, 1]] = (lefts[k] << 17) + row[:, 2]
     return offsets, out
 
 
