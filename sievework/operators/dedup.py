@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sievework.functions.text import shingles, tokens
-from sievework.session import stored, table
+from sievework.session import bound_batches, stored, table
+
+#: 8 bands of 16 rows: a pair of Jaccard j is linked with chance 1 - (1 - j^16)^8, one half at 0.878.
+NUM_PERM, ROWS_PER_BAND = 128, 16
+SIGN_BLOCK = 512  # shingles at a time, so that the products stay in the cache
 
 
 def shingled(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -15,12 +26,35 @@ def shingled(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, tokens(F.col(text)).alias("t")).select(key, shingles(F.col("t")).alias("s"))
 
 
-def bands(docs: DataFrame, key: str, text: str, n: int = 8) -> DataFrame:
-    """``key, band, key``: the smallest hash of a document's shingles per band, computed within the row."""
-    s = shingled(docs, key, text)
-    low = lambda b: F.array_min(F.transform("s", lambda g: F.md5(F.concat(F.lit(f"{b}:"), g))))
-    each = F.array(*(F.struct(F.lit(b).alias("band"), low(b).alias("key")) for b in range(n)))
-    return s.select(key, F.explode(each).alias("x")).select(key, "x.*")
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    """Factors (odd) and summands of the affine maps modulo 2^64 that stand for permutations."""
+    at = lambda kind, i: int.from_bytes(hashlib.md5(f"{kind}:{i}".encode()).digest()[:8], "big")
+    return np.array([[at("a", i) | 1] for i in range(NUM_PERM)], np.uint64), np.array([[at("b", i)] for i in range(NUM_PERM)], np.uint64)
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a row's shingle hashes the ``NUM_PERM`` minima, 32 bits each, in one binary value."""
+    a, b = _permutations()
+    for batch in batches:
+        out = []
+        lists = batch.column(1)
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        for start, end in zip([0, *ends[:-1]], ends, strict=True):
+            low = np.full(NUM_PERM, np.iinfo(np.uint64).max, np.uint64)
+            for k in range(start, end, SIGN_BLOCK):
+                np.minimum(low, (a * flat[k : min(k + SIGN_BLOCK, end)] + b).min(axis=1), out=low)
+            out.append((low >> np.uint64(32)).astype(">u4").tobytes())
+        yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=[batch.schema.names[0], "sig"])
+
+
+def bands(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, band, key``: each band's key is ``ROWS_PER_BAND`` minima of the document's ``NUM_PERM``, side by side."""
+    bound_batches(docs.sparkSession)
+    hashes = shingled(docs, key, text).select(key, F.transform("s", lambda g: F.xxhash64(g)).alias("h"))
+    signed = hashes.mapInArrow(_sign, StructType([docs.schema[key], StructField("sig", BinaryType())]))
+    size = 4 * ROWS_PER_BAND
+    each = F.array(*(F.struct(F.lit(b).alias("band"), F.substring("sig", size * b + 1, size).alias("key")) for b in range(NUM_PERM // ROWS_PER_BAND)))
+    return signed.select(key, F.explode(each).alias("x")).select(key, "x.*")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -37,12 +71,12 @@ def connected(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def clusters(docs: DataFrame, key: str, text: str, day: str, n: int = 8) -> DataFrame:
+def clusters(docs: DataFrame, key: str, text: str, day: str) -> DataFrame:
     """``key, cluster_id, kept``: a cluster is represented by its earliest day, then smallest key.
 
     Equal band keys link documents to the smallest document of the bucket: no pairs within a bucket.
     """
-    b = stored(bands(docs, key, text, n), "bands")
+    b = stored(bands(docs, key, text), "bands")
     hub = b.groupBy("band", "key").agg(F.min(key).alias("v"))
     links = b.join(hub, ["band", "key"]).select(F.col(key).alias("u"), "v")
     labels = connected(links)

@@ -104,6 +104,19 @@ def test_clusters_keep_earliest_then_smallest(spark):
     assert got == {10: (11, False), 11: (11, True), 12: (11, False), 20: (20, True), 30: (31, False), 31: (31, True)}
 
 
+def test_unrelated_texts_stay_apart(spark):
+    """Texts that share a third of their shingles are no near-copies; one changed word in 400 makes one."""
+    w = lambda i, n: [f"w{i}x{k}" for k in range(n)]
+    rows = [(i, " ".join(w("common", 80) + w(i, 80))) for i in range(30)]
+    long = w("long", 400)
+    rows += [(100, " ".join(long)), (101, " ".join([*long[:200], "other", *long[201:]]))]
+    d = frame(spark, rows, "id long, t string").withColumn("day", F.lit(0))
+    got = {r.id: r.cluster_id for r in dedup.clusters(d, "id", "t", "day").collect()}
+    assert got == {i: i for i in range(30)} | {100: 100, 101: 100}
+    b = dedup.bands(d, "id", "t")
+    assert b.count() == 32 * 8 and {len(r.key) for r in b.collect()} == {64}
+
+
 def test_overlaps(spark):
     d = frame(spark, [(1, "2020-01-31"), (2, "2020-02-01"), (3, "2019-01-01")], "id long, d string")
     got = splits.assigned(d, "d", (("a", "2020-01-01", "2020-02-01"), ("b", "2020-02-01", None)))
