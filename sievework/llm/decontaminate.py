@@ -2,11 +2,11 @@
 
 Texts are words between ASCII white space, A-Z lower-cased. Every window of ``SEED_WORDS`` words of the corpus that
 may be one of a test item's (a bitmap of fixed size tells, whatever the benchmark's size) becomes a row (document,
-place, hash), and rows meet the items' windows in an equi-join. A window's document frequency over all documents
-tells how rare it is: an item's seeds are its windows of at most twice its median frequency (plus ``RARE_SLACK``), so
-at least half of its windows are seeds, also for an item that thousands of documents hold. Around the seeds of a
-document and an item the words themselves are aligned (match +2, mismatch -1, gap -1); the best local score, as a
-share of an unedited copy's, is the pair's score.
+place, hash), and rows meet the items' windows in an equi-join. Every window that a document shares with an item is a
+seed of that pair, however many documents hold it: a pair is found or not by its two texts alone. Around the seeds of
+a document and an item the words themselves are aligned (match +2, mismatch -1, gap -1); the best local score, as a
+share of an unedited copy's, is the pair's score. Stretches with too few of the item's words for the least score
+(``most_matches``, an upper bound) are not aligned.
 
 Defined cases: null or empty texts hold nothing; items of fewer than ``MIN_ITEM_WORDS`` words can't be told from
 chance and are left out; a document shorter than a window has none; rows that repeat a doc_id or item_id are
@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievework.llm.hashing import window_hashes, word_hashes
 from sievework.operators.bounded import only
@@ -30,7 +29,6 @@ from sievework.session import bound_batches, stored, table
 
 SEED_WORDS = 3
 MIN_ITEM_WORDS = 3
-RARE_SLACK = 10
 MATCH, MISMATCH, GAP = 2, 1, 1
 MIN_SCORE = 0.5
 BITMAP_BITS = 24
@@ -110,6 +108,12 @@ def windows(n: int, m: int, hits: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(a, b) for a, b in out]
 
 
+def most_matches(doc: np.ndarray, item: np.ndarray) -> int:
+    """No alignment of the two matches more words: those in common, as often as both have them."""
+    n = 1 + int(max(doc.max(initial=0), item.max(initial=0)))
+    return int(np.minimum(np.bincount(doc, minlength=n), np.bincount(item, minlength=n)).sum()) if len(doc) and len(item) else 0
+
+
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SCORED = "doc_id long, item_id long, score double, end_word long, n_seeds long"
 
@@ -126,7 +130,13 @@ def _aligner(least: float):
                     item = number(it["text"])
                     hits = [(h["pos"], h["item_pos"]) for h in it["hits"]]
                     best, end = 0, 0
+                    local = {w: k for k, w in enumerate(dict.fromkeys(item.tolist()))}
+                    small = np.array([local[w] for w in item.tolist()], np.int64)
+                    codes = np.full(len(ids), len(local), np.int64)
+                    codes[list(local)] = list(local.values())
                     for lo, hi in windows(len(doc), len(item), hits):
+                        if most_matches(codes[doc[lo:hi]], small) < least * len(item):
+                            continue
                         s, e = align(doc[lo:hi], item)
                         if s > best:
                             best, end = s, lo + e
@@ -149,11 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE
     known = grams.select(F.col("gram").alias("g")).distinct()
     hits = d.select("doc_key", "text").mapInArrow(_finder(bitmap(grams)), HITS)
     hits = stored(hits.join(known, hits.gram == known.g, "left_semi"), "hits")
-    df = hits.groupBy("gram", "doc_key").agg(F.lit(1).alias("x")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    counted = grams.join(df, "gram", "left").select("item_key", "item_pos", "gram", F.coalesce("df", F.lit(0)).alias("df"))
-    limit = 2 * F.percentile("df", F.lit(0.5)).over(Window.partitionBy("item_key")) + RARE_SLACK
-    seeds = stored(counted.withColumn("most", limit).where("df > 0 and df <= most").select("item_key", "item_pos", "gram"), "seeds")
-    met = hits.join(seeds, "gram").groupBy("doc_key", "item_key").agg(F.collect_list(F.struct("pos", "item_pos")).alias("hits"))
+    met = hits.join(grams, "gram").groupBy("doc_key", "item_key").agg(F.collect_list(F.struct("pos", "item_pos")).alias("hits"))
     per_doc = met.join(items, "item_key").groupBy("doc_key").agg(F.collect_list(F.struct("item_id", "text", "hits")).alias("items"))
     per_doc = stored(per_doc, "met")
     # Only the texts of candidate documents travel (all, once their keys are too many to broadcast).

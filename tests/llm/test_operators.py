@@ -141,6 +141,22 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("copies", [11, 1000])
+def test_decontamination_finds_edits_however_many_hold_them(spark, copies):
+    item = [f"t{i}" for i in range(40)]
+    edited = " ".join("x" if i % 5 == 4 else w for i, w in enumerate(item))
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = decontaminate.contaminated(docs(spark, [(i, f"a{i} {edited} b{i}") for i in range(copies)]), bench).collect()
+    assert sorted(r.doc_id for r in got) == list(range(copies)) and len({r.score for r in got}) == 1
+
+
+def test_most_matches_bounds_alignment():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        a, b = rng.integers(0, 6, rng.integers(1, 30)), rng.integers(0, 6, rng.integers(1, 12))
+        assert decontaminate.align(a, b)[0] <= decontaminate.MATCH * decontaminate.most_matches(a, b)
+
+
 # 4
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
