@@ -22,20 +22,27 @@ def certified(claim: DataFrame) -> DataFrame:
     return claim.agg(F.bool_and(F.col("verdict") == "favorable").alias("certified"), F.bool_or(F.col("verdict") == "adverse").alias("any_adverse"))
 
 
-def joint_thresholds(df: DataFrame, taus_b: tuple[float, ...], c_misroute: float, c_human: float) -> DataFrame:
+def joint_thresholds(df: DataFrame, taus_b: tuple[float, ...] | None, c_misroute: float, c_human: float) -> DataFrame:
     """The cheapest pair of gates: A answers at ``p_max >= tau_a``, else B (paid for) at ``p_b >= tau_b``, else a human.
 
-    Candidates for tau_b are a literal; for each, rows are aggregated per distinct confidence of A before any
-    window. Ties go to the larger coverage of A, then to the larger coverage of B (the smaller tau_b).
+    Candidates for tau_b are ``taus_b``, by default every distinct ``p_b`` and infinity (B never answers); for tau_a
+    every distinct ``p_max`` and infinity (A never answers). Rows are aggregated per pair of confidences before they
+    meet the candidates. Ties go to the larger coverage of A, then to the larger coverage of B (the smaller tau_b).
     """
-    t = F.explode(F.array(*(F.lit(float(x)) for x in taus_b))).alias("tau_b")
-    x = df.select("p_max", "p_b", "correct", "correct_b", "cost_b", t)
-    b_answers = F.col("p_b") >= F.col("tau_b")
-    arm = F.col("cost_b") + F.when(b_answers, c_misroute * (1 - F.col("correct_b"))).otherwise(c_human)
-    per = x.groupBy("tau_b", "p_max").agg(F.count(F.lit(1)).alias("n"), F.sum(c_misroute * (1 - F.col("correct"))).alias("own"), F.sum(arm).alias("arm"))
+    wrong_b = c_misroute * (1 - F.col("correct_b"))
+    cells = df.groupBy("p_max", "p_b").agg(F.count(F.lit(1)).alias("n"), F.sum(c_misroute * (1 - F.col("correct"))).alias("own"), F.sum("cost_b").alias("paid"), F.sum(wrong_b).alias("wrong_b"))
+    if taus_b is None:
+        one = df.select(F.lit(float("inf")).alias("tau_b")).limit(1)
+        taus = df.where("p_b is not null").select(F.col("p_b").cast("double").alias("tau_b")).distinct().unionByName(one)
+    else:
+        taus = df.sparkSession.createDataFrame([(float(x),) for x in taus_b], "tau_b double")
+    arm = F.col("paid") + F.when(F.col("p_b") >= F.col("tau_b"), F.col("wrong_b")).otherwise(c_human * F.col("n"))
+    per = cells.crossJoin(taus).groupBy("tau_b", "p_max").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.sum(arm).alias("arm"))
     down = Window.partitionBy("tau_b").orderBy(F.col("p_max").desc()).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("tau_b")
     g = per.select("tau_b", F.col("p_max").alias("tau_a"), F.sum("n").over(down).alias("k"), (F.sum("own").over(down) + F.sum("arm").over(whole) - F.sum("arm").over(down)).alias("cost"), F.sum("n").over(whole).alias("n"))
+    never = per.groupBy("tau_b").agg(F.sum("arm").alias("cost"), F.sum("n").alias("n")).select("tau_b", F.lit(float("inf")).alias("tau_a"), F.lit(0).cast("long").alias("k"), "cost", "n")
+    g = g.unionByName(never)
     return g.withColumn("cost_per_1k", F.round(F.col("cost") * 1000 / F.col("n"), 6)).orderBy("cost_per_1k", F.col("k").desc(), "tau_b").limit(1)
 
 

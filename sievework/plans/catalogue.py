@@ -508,7 +508,7 @@ def joint_thresholds(spark, d):
     from sievework.operators import claims
 
     p = predictions(spark, d).withColumns({"p_b": F.col("m11") / 11.0, "correct_b": (F.col("m7") != 0).cast("int"), "cost_b": F.lit(0.05)})
-    return claims.joint_thresholds(p, TAUS_B, C_MISROUTE, C_HUMAN).select("tau_b", r6("tau_a", "tau_a"), "k", F.round("cost_per_1k", 5).alias("cost_per_1k"))
+    return claims.joint_thresholds(p, None, C_MISROUTE, C_HUMAN).select("tau_b", r6("tau_a", "tau_a"), "k", F.round("cost_per_1k", 5).alias("cost_per_1k"))
 
 
 _UO = "('0x' || md5('c:' || rep || ':' || id)[1:8])::BIGINT::DOUBLE / 4294967296.0"

@@ -36,6 +36,18 @@ def test_joint_thresholds_match_brute_force(spark):
     assert (got.cost_per_1k, -got.k, got.tau_b) == pytest.approx(best)
 
 
+def test_joint_thresholds_try_every_gate(spark):
+    """Without given gates all are tried: best at the lowest p_b here, with A never answering where it is always wrong."""
+    for a_right, b_right, human in ((0, 1, 1.5), (1, 1, 1.5), (0, 0, 0.5)):
+        rows = [(i, (i * 7 % 10) / 10, (i * 3 % 8) / 11, int(a_right and i % 3 > 0), int(b_right and i % 4 > 0), 0.1) for i in range(40)]
+        d = spark.createDataFrame(rows, "id long, p_max double, p_b double, correct int, correct_b int, cost_b double")
+        cost = lambda a, b: sum((2 * (1 - c)) if p >= a else cb + (2 * (1 - k) if pb >= b else human) for _, p, pb, c, k, cb in rows)  # noqa: B023, E731
+        gates = lambda n: {r[n] for r in rows} | {float("inf")}  # noqa: B023, E731
+        best = min((round(cost(a, b) * 25, 6), -sum(r[1] >= a for r in rows), b) for a in gates(1) for b in gates(2))
+        got = claims.joint_thresholds(d, None, 2.0, human).first()
+        assert (got.cost_per_1k, -got.k, got.tau_b) == pytest.approx(best)
+
+
 def test_self_comparison_is_not_established(spark):
     d = spark.createDataFrame([(i, 0) for i in range(20)], "id long, d int")
     c = claims.paired_claim(d, "id", {"accuracy": F.col("d")}, 10, "s")
