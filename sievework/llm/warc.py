@@ -6,12 +6,16 @@ chunk is the record's closing CRLF CRLF. Written in the order of (record_id, chu
 are a WARC/1.1 file. Every payload chunk carries the count and SHA-256 of the payload up to and including
 it, so a reader can check a record piece by piece and never holds a whole one.
 
+Payloads are not shuffled to be written. A first scan keeps the size and digest of each record; the digests that occur
+twice, with the record that is their response, meet the second scan in a join (broadcast up to a counted bound, beyond
+which it has to shuffle), and chunks are cut where the payload was read. A payload is digested and cut in place: Spark holds a
+string as UTF-8, so its bytes are the string's own, and no second copy of a whole record is made.
+
 Defined cases: a null payload is empty; payloads below ``MIN_DEDUP_BYTES`` are always responses; of equal
-longer ones the smallest page_id is the response, the others are revisits (a revisit keeps its payload
-chunks out of the archive and carries its length and digest in its header); null page_id is a record of
-its own; repeated page_ids give records of their own (a record's id is ``page_id/serial``, the serial being
-unique in its archive); extra columns
-are ignored; an empty table gives an empty archive.
+longer ones the first by page_id (nulls last), then url (nulls first), is the response, the others are revisits, also
+where they share its page_id (a revisit keeps its payload chunks out of the archive and carries its length and digest
+in its header); rows equal in page_id, url and payload are the same in this too; repeated page_ids give records of their own (a record's id is ``page_id/serial``, the serial being
+unique in its archive); extra columns are ignored; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -25,33 +29,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.session import new_path, table
+from sievework.operators.bounded import at_most
+from sievework.session import bound_batches, new_path, stored, table, written
 
 CHUNK_BYTES = 64 * 1024
 MIN_DEDUP_BYTES = 100
+#: Up to this many repeated digests are broadcast (about 150 bytes each), more are joined by a shuffle.
+BROADCAST_DIGESTS = 200_000
 CRLF = b"\r\n"
 
 CHUNKS = "record_id string, chunk_no long, data binary, running_bytes long, running_sha256 string"
 
 
 def classify(pages: DataFrame) -> DataFrame:
-    """Adds payload, its size and digest, and what the record is: response or revisit of which page.
-
-    The first page of each digest comes from a map-side combined aggregation; the join back is a plain
-    equi-join, whose hot digests Spark splits.
-    """
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    """Adds payload, its size and digest, and what the record is: response or revisit of which page."""
+    payload = F.coalesce("html", F.lit("")).cast("binary")
     p = pages.select("page_id", "url", payload.alias("payload")).select(
         "*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")
     )
+    order = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id").alias("id"), F.col("url").alias("url"))
     known = p.where(F.col("payload_bytes") >= MIN_DEDUP_BYTES)
-    first = known.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = p.join(first, ["payload_digest", "payload_bytes"], "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    first = known.groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = stored(first, "repeated")
+    side = F.broadcast(first) if at_most(first, BROADCAST_DIGESTS) else first
+    joined = p.join(side, ["payload_digest", "payload_bytes"], "left")
+    own = F.col("page_id").eqNullSafe(F.col("first.id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    revisit = F.col("first").isNotNull() & ~own
     return joined.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first_id")).alias("refers_to"),
+        F.when(revisit, F.col("first.id")).alias("refers_to"),
     )
 
 
@@ -90,6 +97,7 @@ def to_chunks(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         .when(F.col("chunk_no") > F.col("n"), F.lit(CRLF * 2))
         .otherwise(F.substring(F.col("payload"), at, F.lit(chunk_bytes)))
     )
+    bound_batches(records.sparkSession)
     rows = cut.select("record_id", "chunk_no", data.alias("data"), (F.col("chunk_no").between(F.lit(1), F.col("n"))).alias("is_body"))
     return rows.mapInArrow(_running, CHUNKS)
 
@@ -113,7 +121,7 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archive(records: DataFrame, path: str) -> None:
     """Chunk rows through Spark's writer, whose commit survives lost tasks."""
-    to_chunks(records).write.parquet(path)
+    written(to_chunks(records), path, compression="zstd")
 
 
 READ = "record_id string, warc_type string, url string, refers_to string, payload_bytes long, payload_digest string, stated_digest string, intact boolean"
@@ -125,6 +133,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     Chunks are dealt by record and sorted, so a reader holds one chunk at a time; ``intact`` is false where
     a running digest, a count or the header's digest differs from what was read.
     """
+    bound_batches(spark)
     chunks = spark.read.schema(CHUNKS).parquet(path)
     return chunks.repartition("record_id").sortWithinPartitions("record_id", "chunk_no").mapInArrow(_records, READ)
 
@@ -214,12 +223,13 @@ def op5_warc_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
-f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
-SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
-  CASE WHEN f.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to, true AS intact
-FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
+WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, first_value(page_id) OVER o AS first_id, first_value(url) OVER o AS first_url FROM p
+      WINDOW o AS (PARTITION BY d ORDER BY page_id NULLS LAST, url NULLS FIRST)),
+r AS (SELECT *, n >= 100 AND (page_id IS DISTINCT FROM first_id OR url IS DISTINCT FROM first_url) AS again FROM f)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first_id END AS refers_to, true AS intact
+FROM r
 """
 
 QUERIES = {"op5_warc_chunked": op5_warc_chunked}
