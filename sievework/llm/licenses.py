@@ -1,27 +1,28 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-Rules are regular expressions over lower-cased (A-Z) text, in order of priority. An Aho-Corasick automaton
-finds every rule's keywords in one pass; only rules whose keywords all occur are run. Detections overlap:
+Rules are regular expressions over lower-cased (A-Z) text, in order of priority (``license_rules``). An Aho-Corasick
+automaton finds the rules' keywords in one pass; a rule is run where each group of strings that its matches must hold
+has one in the text, so the prefilter saves work and loses nothing. Detections overlap:
 one lying inside another (interval containment) is suppressed where the outer one has at least its
 priority or its family; of equal intervals the rule of the higher priority stays. What stays gives the
 labels, and the best rule's weight gives the score.
 
 Defined cases: null text is empty: no words, no labels, score 0; ties in position and priority go to the
 rule listed first; repeated rows get a row each; null doc_id passes through; extra columns are ignored.
-Very long texts are scanned whole; a rule's gaps are bounded, so matching is linear in the text.
+Very long texts are scanned whole; white space between words may be of any length, other gaps of a rule are bounded.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.session import table
+from sievework.llm.license_rules import Rule, build_rules
+from sievework.session import bound_batches, table
 
 #: Base phrases and their labels.
 PHRASES: tuple[tuple[tuple[str, ...], str], ...] = (
@@ -31,121 +32,33 @@ PHRASES: tuple[tuple[tuple[str, ...], str], ...] = (
 )
 
 
-@dataclass(frozen=True)
-class Rule:
-    name: str
-    label: str
-    family: str
-    priority: int  # higher wins
-    weight: float  # 0..1, how surely a match means the licence
-    pattern: str
-    keywords: tuple[str, ...]  # all must occur in the text
-
-
-# Licence names as (label, family, name pattern, keyword, SPDX identifiers).
-NAMES: tuple[tuple[str, str, str, str, tuple[str, ...]], ...] = (
-    ("mit", "mit", r"mit", "mit", ("mit", "mit-0", "x11")),
-    ("apache-1.0", "apache", r"apache\s+software\s+license,?\s+(?:version\s+|v)?1\.0", "apache", ("apache-1.0",)),
-    ("apache-1.1", "apache", r"apache\s+software\s+license,?\s+(?:version\s+|v)?1\.1", "apache", ("apache-1.1",)),
-    ("apache-2.0", "apache", r"apache\s+(?:software\s+)?license,?\s*(?:version\s+|v\.?\s*)?2(?:\.0)?", "apache", ("apache-2.0",)),
-    ("gpl-1.0", "gpl", r"gnu\s+general\s+public\s+license,?\s*(?:version\s+|v\.?\s*)1(?:\.0)?", "general public", ("gpl-1.0", "gpl-1.0-only", "gpl-1.0-or-later")),
-    ("gpl-2.0", "gpl", r"gnu\s+general\s+public\s+license,?\s*(?:version\s+|v\.?\s*)2(?:\.0)?", "general public", ("gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later")),
-    ("gpl-3.0", "gpl", r"gnu\s+general\s+public\s+license,?\s*(?:version\s+|v\.?\s*)3(?:\.0)?", "general public", ("gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later")),
-    ("lgpl-2.0", "lgpl", r"gnu\s+library\s+general\s+public\s+license,?\s*(?:version\s+|v\.?\s*)2(?:\.0)?", "general public", ("lgpl-2.0", "lgpl-2.0-only", "lgpl-2.0-or-later")),
-    ("lgpl-2.1", "lgpl", r"gnu\s+lesser\s+general\s+public\s+license,?\s*(?:version\s+|v\.?\s*)2\.1", "general public", ("lgpl-2.1", "lgpl-2.1-only", "lgpl-2.1-or-later")),
-    ("lgpl-3.0", "lgpl", r"gnu\s+lesser\s+general\s+public\s+license,?\s*(?:version\s+|v\.?\s*)3(?:\.0)?", "general public", ("lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later")),
-    ("agpl-3.0", "agpl", r"gnu\s+affero\s+general\s+public\s+license,?\s*(?:version\s+|v\.?\s*)3(?:\.0)?", "affero", ("agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later")),
-    ("bsd-2-clause", "bsd", r"(?:2[- ]clause|simplified)\s+bsd|bsd\s+2[- ]clause", "bsd", ("bsd-2-clause",)),
-    ("bsd-3-clause", "bsd", r"(?:3[- ]clause|new|modified|revised)\s+bsd|bsd\s+3[- ]clause", "bsd", ("bsd-3-clause",)),
-    ("bsd-4-clause", "bsd", r"(?:4[- ]clause|original)\s+bsd|bsd\s+4[- ]clause", "bsd", ("bsd-4-clause",)),
-    ("mpl-1.1", "mpl", r"mozilla\s+public\s+license,?\s*(?:version\s+|v\.?\s*)1\.1", "mozilla", ("mpl-1.1",)),
-    ("mpl-2.0", "mpl", r"mozilla\s+public\s+license,?\s*(?:version\s+|v\.?\s*)2(?:\.0)?", "mozilla", ("mpl-2.0",)),
-    ("epl-1.0", "epl", r"eclipse\s+public\s+license,?\s*(?:version\s+|[-–]\s*v\s*)1(?:\.0)?", "eclipse", ("epl-1.0",)),
-    ("epl-2.0", "epl", r"eclipse\s+public\s+license,?\s*(?:version\s+|[-–]\s*v\s*)2(?:\.0)?", "eclipse", ("epl-2.0",)),
-    ("cddl-1.0", "cddl", r"common\s+development\s+and\s+distribution\s+license", "common development", ("cddl-1.0",)),
-    ("cpl-1.0", "cpl", r"common\s+public\s+license", "common public", ("cpl-1.0",)),
-    ("isc", "isc", r"isc", "isc", ("isc",)),
-    ("zlib", "zlib", r"zlib(?:/libpng)?", "zlib", ("zlib",)),
-    ("unlicense", "unlicense", r"unlicense", "unlicense", ("unlicense",)),
-    ("wtfpl", "wtfpl", r"do\s+what\s+the\s+fuck\s+you\s+want\s+to\s+public\s+license|wtfpl", "public license", ("wtfpl",)),
-    ("bsl-1.0", "boost", r"boost\s+software\s+license", "boost", ("bsl-1.0",)),
-    ("artistic-2.0", "artistic", r"artistic\s+license,?\s*2(?:\.0)?", "artistic", ("artistic-2.0",)),
-    ("psf-2.0", "psf", r"python\s+software\s+foundation\s+license", "python software", ("psf-2.0", "python-2.0")),
-    ("ofl-1.1", "ofl", r"sil\s+open\s+font\s+license", "open font", ("ofl-1.1",)),
-    ("eupl-1.2", "eupl", r"european\s+union\s+public\s+licen[cs]e", "european union", ("eupl-1.2",)),
-    ("sspl-1.0", "sspl", r"server\s+side\s+public\s+license", "server side", ("sspl-1.0",)),
-    ("busl-1.1", "busl", r"business\s+source\s+license", "business source", ("busl-1.1",)),
-    ("ms-pl", "ms", r"microsoft\s+public\s+license", "microsoft", ("ms-pl",)),
-    ("osl-3.0", "osl", r"open\s+software\s+license,?\s*(?:version\s+|v\.?\s*)?3(?:\.0)?", "open software", ("osl-3.0",)),
-    ("afl-3.0", "afl", r"academic\s+free\s+license,?\s*(?:version\s+|v\.?\s*)?3(?:\.0)?", "academic free", ("afl-3.0",)),
-    ("gfdl-1.3", "gfdl", r"gnu\s+free\s+documentation\s+license", "free documentation", ("gfdl-1.3", "gfdl-1.3-only", "gfdl-1.3-or-later")),
-    ("postgresql", "postgresql", r"postgresql", "postgresql", ("postgresql",)),
-    ("openssl", "openssl", r"openssl", "openssl", ("openssl",)),
-    ("php-3.01", "php", r"php\s+license,?\s*(?:version\s+)?3\.01", "php", ("php-3.01",)),
-    ("ruby", "ruby", r"ruby", "ruby", ("ruby",)),
-    ("vim", "vim", r"vim", "vim", ("vim",)),
-)
-# Whole-notice signatures as (label, family, pattern, keyword).
-NOTICES: tuple[tuple[str, str, str, str], ...] = (
-    ("mit", "mit", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person", "hereby granted"),
-    ("bsd", "bsd", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", "redistribution"),
-    ("bsd-4-clause", "bsd", r"all\s+advertising\s+materials\s+mentioning\s+features", "advertising materials"),
-    ("isc", "isc", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose", "permission to use"),
-    ("apache-2.0", "apache", r"you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+license", "except in compliance"),
-    ("gpl", "gpl", r"free\s+software[:;,]?\s+you\s+can\s+redistribute\s+it\s+and/or\s+modify", "free software"),
-    ("unlicense", "unlicense", r"free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain", "unencumbered"),
-    ("public-domain", "public-domain", r"(?:released|placed|dedicated)\s+(?:in)?to\s+the\s+public\s+domain", "public domain"),
-    ("zlib", "zlib", r"provided\s+'as-is',\s+without\s+any\s+express\s+or\s+implied\s+warranty", "as-is"),
-    ("proprietary", "proprietary", r"all\s+rights\s+reserved", "rights reserved"),
-    ("proprietary", "proprietary", r"proprietary\s+and\s+confidential", "proprietary"),
-    ("proprietary", "proprietary", r"unauthori[sz]ed\s+(?:copying|use|distribution)\s+(?:of\s+this\s+\w+\s+)?is\s+(?:strictly\s+)?prohibited", "prohibited"),
-)
-_USE = r"(?:licen[cs]ed|released|distributed|available|provided|published)\s+(?:\w+\s+)?under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?"
-
-
-def build_rules() -> tuple[Rule, ...]:
-    """Each named licence in five forms (SPDX tag, grant, title, file field, address), the Creative Commons
-    grid (clauses x versions x forms), then the notices and the versionless families, by falling priority."""
-    out: list[Rule] = []
-    for label, family, name, key, spdx in NAMES:
-        lic = "" if "licen" in name or "wtfpl" in name else r"\s+licen[cs]e"
-        for tag in spdx:
-            own = label if tag in (label, "x11", "mit-0", "python-2.0") or tag.startswith(label) else tag
-            out.append(Rule(f"spdx:{tag}", own, family, 90, 1.0, rf"spdx-license-identifier:\s*{re.escape(tag)}(?![\w.-])", ("spdx-license-identifier", tag)))
-        out.append(Rule(f"grant:{label}", label, family, 80, 0.95, rf"\b{_USE}(?:{name}){lic}\b", (key, "under", "licen")))
-        out.append(Rule(f"title:{label}", label, family, 60, 0.8, rf"\b(?:the\s+)?(?:{name}){lic}\b", (key, "licen")))
-        out.append(Rule(f"field:{label}", label, family, 70, 0.9, rf"\blicense\"?\s*[:=]\s*\"?(?:{'|'.join(map(re.escape, spdx))})\b", ("license", spdx[0])))
-        out.append(Rule(f"address:{label}", label, family, 75, 0.9, rf"opensource\.org/licen[cs]es/{re.escape(spdx[0])}\b", ("opensource.org", spdx[0])))
-    for clauses in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"):
-        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
-            tag = f"cc-{clauses}-{version}"
-            out.append(Rule(f"name:{tag}", tag, "cc", 80, 0.95, rf"\bcc[- ]{clauses}[- ]{re.escape(version)}(?![\d.]*\d)", (clauses, version)))
-            out.append(Rule(f"address:{tag}", tag, "cc", 85, 0.95, rf"creativecommons\.org/licenses/{clauses}/{re.escape(version)}", ("creativecommons", clauses)))
-    out.append(Rule("name:cc0", "cc0-1.0", "cc", 80, 0.95, r"\bcc0(?:[- ]1\.0)?\b", ("cc0",)))
-    out.append(Rule("name:cc", "cc", "cc", 40, 0.7, r"\bcreative\s+commons\b", ("creative commons",)))
-    out += [Rule(f"notice:{label}:{i}", label, family, 50, 0.9 if label != "proprietary" else 0.6, rf"\b{p}", (key,)) for i, (label, family, p, key) in enumerate(NOTICES)]
-    for family, name, key in (("apache", r"apache\s+licen[cs]e", "apache"), ("gpl", r"general\s+public\s+licen[cs]e", "general public"), ("lgpl", r"\blgpl\b", "lgpl"), ("agpl", r"\bagpl\b", "agpl"), ("gpl", r"\bgpl\b", "gpl"), ("bsd", r"bsd[- ](?:style\s+)?licen[cs]e", "bsd"), ("mpl", r"mozilla\s+public\s+licen[cs]e", "mozilla"), ("epl", r"eclipse\s+public\s+licen[cs]e", "eclipse"), ("artistic", r"artistic\s+licen[cs]e", "artistic")):
-        out.append(Rule(f"family:{family}:{key}", family, family, 30, 0.6, rf"\b{name}\b", (key,)))
-    return tuple(sorted(out, key=lambda r: -r.priority))
-
-
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] | None = None) -> None:
         import ahocorasick
 
         self.rules = build_rules() if rules is None else rules
         self.compiled = [re.compile(r.pattern) for r in self.rules]
+        self.needs = [[frozenset(g) for g in r.needs] for r in self.rules]
         self.machine = ahocorasick.Automaton()
-        for k in sorted({k for r in self.rules for k in r.keywords}):
+        #: Rules by the strings of their first group; rules that need nothing are always run.
+        self.by_word: dict[str, list[int]] = {}
+        self.always = [i for i, r in enumerate(self.rules) if not r.needs]
+        for i, r in enumerate(self.rules):
+            for k in r.needs[0] if r.needs else ():
+                self.by_word.setdefault(k, []).append(i)
+        for k in sorted({k for r in self.rules for g in r.needs for k in g}):
             self.machine.add_word(k, k)
         self.machine.make_automaton()
 
-    def detections(self, low: str) -> list[tuple[int, int, Rule]]:
-        """(start, end, rule) that stay after suppression, by start."""
+    def candidates(self, low: str) -> list[int]:
+        """Rules that can match, by their keywords."""
         there = {k for _, k in self.machine.iter(low)}
-        if not there:
-            return []
-        found = [(m.start(), m.end(), i) for i, r in enumerate(self.rules) if there.issuperset(r.keywords) for m in self.compiled[i].finditer(low)]
+        first = {i for k in there for i in self.by_word.get(k, ())}
+        return sorted([*self.always, *(i for i in first if not any(there.isdisjoint(g) for g in self.needs[i]))])
+
+    def detections(self, low: str, run: list[int] | None = None) -> list[tuple[int, int, Rule]]:
+        """(start, end, rule) that stay after suppression, by start; ``run``: the rules to run, for the keywords' ones."""
+        found = [(m.start(), m.end(), i) for i in (self.candidates(low) if run is None else run) for m in self.compiled[i].finditer(low)]
         return [(a, b, self.rules[i]) for a, b, i in suppress(found, self.rules)]
 
 
@@ -208,6 +121,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame) -> DataFrame:
     """Base places, labels, score and detections (code points of the lower-cased text) of each document."""
     kinds = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<start:long,end:long,rule:string,label:string>>"
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text")).mapInArrow(scan_batches, kinds)
 
 
