@@ -108,35 +108,40 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def parse(rendered: DataFrame) -> DataFrame:
-    """Reads a rendering back: adds ``turns``, an array of (role, text, loss); loss is what the spans cover."""
+    """Reads a rendering back: adds ``turns``, an array of (role, text), and ``loss``, the texts under ``loss_spans``.
+
+    Both come from ``formatted`` alone: turns by its control strings, the loss texts by cutting at the spans, in an
+    encoding of four bytes a code point, so that a cut costs its own length wherever it lies.
+    """
     pieces = F.filter(F.split("formatted", F.lit("</turn>\\n")), lambda x: x != "")
     role_raw = lambda x: F.substring_index(F.substr(x, F.lit(len(TURN_OPEN) + 1)), ROLE_END, 1)
     body_of = lambda x: F.substr(x, F.length(role_raw(x)) + len(TURN_OPEN) + len(ROLE_END) + 1)
     turns = F.transform(
         pieces,
-        lambda x: F.struct(
-            unescaped(role_raw(x), ROLE_ESCAPES).alias("role"), unescaped(body_of(x)).alias("text"), F.length(body_of(x)).alias("len")
-        ),
-    )
-    return rendered.withColumn("turns", turns)
+        lambda x: F.struct(unescaped(role_raw(x), ROLE_ESCAPES).alias("role"), unescaped(body_of(x)).alias("text")),
+    )
+    # A letter before each cut keeps a leading byte order mark from being taken for one.
+    wide = lambda text: F.encode(text, "UTF-32")
+    cut = lambda u, x: F.substr(F.decode(F.concat(wide(F.lit("|")), F.substring(u, (4 * x.start + 1).cast("int"), (4 * x.len).cast("int"))), "UTF-32"), F.lit(2))
+    cuts = F.transform(F.array(wide(F.col("formatted"))), lambda u: F.transform("loss_spans", lambda x: unescaped(cut(u, x))))
+    return rendered.withColumn("turns", turns).withColumn("loss", F.get(cuts, F.lit(0)))
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``conversations`` plus conversation -7, formatted and read back."""
-    own = r"\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    own = "r'\\### Assistant: </turn> ok'"
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', {own}), (-7L, 1L, 'assistant', {own}) AS t(conv_id, turn, role, text)")
     events = rows.unionByName(extra).select(
         "conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text"
     )
     got = parse(render(reconstruct(events)))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t.role == "assistant"), lambda t: t.text), "")
     return got.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(whole, 256).alias("turns_sha256"),
-        loss.alias("loss"),
+        F.array_join("loss", "").alias("loss"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         F.aggregate("loss_spans", F.lit(0).cast("long"), lambda a, s: a + s.len).alias("span_chars"),
     ).select(
