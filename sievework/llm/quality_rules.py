@@ -2,10 +2,10 @@
 
 Every rule rejects a document whose statistic exceeds a cutoff. On labelled good documents (label 1, base
 rules passed) each candidate cutoff of each rule in each stratum is a test of "this cutoff rejects more
-than ``alpha`` of the good documents". A cutoff is admissible where the exact binomial tail
-P(X <= k | n, alpha) is at most ``delta`` divided by the number of all tests (Bonferroni), which is the
+than a rule's share of the good documents", the share being ``alpha`` divided by the number of rules. A cutoff is admissible where the exact binomial tail
+P(X <= k | n, share) is at most ``delta`` divided by the number of all tests (Bonferroni), which is the
 Clopper-Pearson bound. The lowest admissible cutoff of a rule is used; with none the rule stays silent.
-With probability 1 - ``delta`` every stratum loses at most ``alpha`` of its good documents to each rule.
+With probability 1 - ``delta`` every stratum loses at most ``alpha`` of its good documents to all rules together.
 
 Defined cases: null text has no words and fails the base rules; null lang is the stratum ``''``; a document
 with several labels counts as good only if all of them are 1; null labels are ignored; without labels no
@@ -119,7 +119,7 @@ def certified_cutoffs(good: DataFrame, stratum: str, rules: dict[str, tuple[floa
         F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(tests)))).alias("t"),
     ).select(stratum, "n", "t.*")
     level = delta / len(tests) / strata
-    ok = long.where(binomial_cdf(F.col("k"), F.col("n"), alpha) <= level)
+    ok = long.where(binomial_cdf(F.col("k"), F.col("n"), alpha / len(rules)) <= level)
     return ok.groupBy(stratum).agg(*(F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in rules))
 
 
@@ -145,6 +145,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _S = "[\\x20\\x09-\\x0D]"
 _TESTS = ", ".join(f"('{r}', {c}::DOUBLE)" for r, cuts in RULES.items() for c in cuts)
 _N = sum(map(len, RULES.values()))
+_A = ALPHA / len(RULES)
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '{_S}+'), lambda x: x <> '') AS ws,
@@ -171,8 +172,8 @@ k AS (SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (
         CASE rule WHEN 'symbol_ratio' THEN symbol_ratio WHEN 'dup_line_ratio' THEN dup_line_ratio
                   WHEN 'repeat_ratio' THEN repeat_ratio ELSE mean_word_chars END > cut) AS k
       FROM good, tests GROUP BY ALL),
-ok AS (SELECT stratum, rule, min(cut) AS cut FROM k WHERE k < n * {ALPHA} AND
-        list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))
+ok AS (SELECT stratum, rule, min(cut) AS cut FROM k WHERE k < n * {_A} AND
+        list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_A}) + (n - i) * ln(1 - {_A}))
                   for i in range(0, k + 1)]) <= {DELTA} / {_N} / (SELECT count(DISTINCT stratum) FROM good)
        GROUP BY ALL),
 bad AS (SELECT DISTINCT doc_id FROM r JOIN ok USING (stratum) WHERE CASE ok.rule WHEN 'symbol_ratio' THEN symbol_ratio
