@@ -199,6 +199,13 @@ def _block_links(open_: DataFrame, docs: DataFrame, shingle: int, num: int, den:
     return met.mapInArrow(_linker(num, den), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def _own_links(known: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Links from each doc_id that has several sets to the nodes of those sets."""
+    several = known.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("id"))
+    own = known.select("doc_id", "set_key").join(several, F.col("doc_id") == F.col("id"), "left_semi").join(firsts, "set_key")
+    return own.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per document; links need ``num/den`` of the union shared."""
     bound_batches(docs.sparkSession)
@@ -214,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int, num: int, den: int) -> DataFr
     members = stored(members.join(weight, "id").select("key", "id", "weight"), "weighed")
     hubs = members.groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("id")).alias("neg"))).alias("m")).select("key", (-F.col("m.neg")).alias("hub"))
     pairs = members.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = stored(_confirmed(pairs, reps, docs, shingle, num, den), "links")
+    links = stored(_confirmed(pairs, reps, docs, shingle, num, den).unionByName(_own_links(known, firsts)), "links")
     labels = components(links)
     at = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     parts = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"))
