@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.llm import byte_bpe, chat, decontaminate, hashing, licenses, line_chunks, near_dup, pairwise_quality, quality_rules, warc, wavelet
+from sievework.llm import byte_bpe, chat, decontaminate, hashing, license_rules, licenses, line_chunks, near_dup, pairwise_quality, quality_rules, warc, wavelet
 from sievework.llm.components import components
 
 EDGE = [(0, "a b  c"), (1, None), (2, ""), (3, " \n\t"), (4, "x " * 3000), (5, "é ñ 日本 😀 !"), (6, "a b  c"), (6, "a b  c"), (None, "no id here")]
@@ -21,7 +21,7 @@ DOCS = "doc_id long, text string"
 
 def docs(spark, rows, extra=False):
     d = spark.createDataFrame(rows, DOCS).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
-    clash = ("score", "n_lines", "kept", "decoded", "ids_chars", "key", "id", "label", "start", "_sw_id") if extra else ()
+    clash = ("score", "n_lines", "kept", "decoded", "ids", "word", "refs", "key", "id", "label", "start", "_sw_id") if extra else ()
     return d.withColumns({c: F.lit(1) for c in clash})
 
 
@@ -114,6 +114,59 @@ def test_line_chunks(spark):
     assert line_chunks.dedup_lines(docs(spark, [])).count() == 0
 
 
+def brute_line_dedup(rows):
+    """Texts left, by the rule in plain loops: (doc_id, text) with different ids."""
+    words_in = lambda x: len(re.findall("[^\x20\x09-\x0d]+", x))
+    seen, out = {}, {}
+    for i, text in sorted(rows):
+        lines = (text or "").split("\n")
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        n = [words_in(x) for x in lines]
+        gone, start = set(), 0
+        for k in range(len(lines)):
+            cut = ((h[k - 1] if k else 0) * 31 + h[k]) % 4 == 0 or n[k] >= 50 or (k + 1 < len(lines) and n[k + 1] >= 50)
+            if cut or k + 1 == len(lines):
+                if sum(x > 0 for x in n[start : k + 1]) >= 2 or sum(n[start : k + 1]) >= 50:
+                    if seen.setdefault(("c", "\n".join(lines[start : k + 1])), (i, start)) != (i, start):
+                        gone |= set(range(start, k + 1))
+                start = k + 1
+        filled, run = [k for k in range(len(lines)) if n[k]], []
+        for a, b in [*zip(filled, filled[1:]), (len(lines), len(lines))]:
+            if a < len(lines) and seen.setdefault(("p", lines[a], lines[b]), (i, a)) != (i, a):
+                run += [a, b]
+            else:
+                if run and sum(n[run[0] : run[-1] + 1]) >= 50:
+                    gone |= set(range(run[0], run[-1] + 1))
+                run = []
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_repeated_runs_of_lines_go_whole(spark):
+    rng = np.random.default_rng(12)
+    line = lambda n: " ".join(f"v{k}" for k in rng.integers(0, 9999, n))
+    notice, header = [line(18), "", line(17), line(20)], [line(26), line(27)]
+    rows = [(i, "\n".join([line(5), *notice, line(6), line(4), *header, line(7)])) for i in range(30)]
+    rows += [(50, "\n".join([notice[0], notice[2]])), (51, "\n".join([*header, *header, *header])), (52, None), (53, "")]
+    rows += [(60 + i, "\n".join(["short line", "another one", line(3)])) for i in range(5)] + [(70, line(60) + "\nq"), (71, "z\n" + rows[0][1])]
+    got = {r.doc_id: r for r in line_chunks.dedup_lines(docs(spark, rows, extra=True)).collect()}
+    want = brute_line_dedup(rows)
+    assert {i: r.text or "" for i, r in got.items()} == want
+    assert got[0].n_removed_lines == 0 and all(not set(notice[:1] + notice[2:] + header) & set(want[i].split("\n")) for i in range(1, 30))
+    every = {x for _, t in rows for x in (t or "").split("\n")}
+    assert every == {x for t in want.values() for x in t.split("\n")} | {""}
+
+
+def test_hot_passage_and_repeated_ids(spark, monkeypatch):
+    block = "\n".join(f"hot line {k} " + "w " * 9 for k in range(8))
+    rows = [(i, f"own {i}\n{block}\nend {i}") for i in range(400)] + [(7, f"other {block}"), (7, f"again\n{block}"), (None, block)]
+    for limit in (100_000, 0):
+        monkeypatch.setattr(line_chunks, "BROADCAST_PASSAGES", limit)
+        got = line_chunks.dedup_lines(docs(spark, rows)).collect()
+        assert sum(r.text.count("hot line 3") for r in got if r.doc_id != 7) == 1 and len(got) == len(rows)
+        assert [r.text for r in got if r.doc_id == 9] == ["own 9\nend 9"] and [r.text for r in got if r.doc_id is None] == [""]
+
+
 # 3
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(3)
@@ -202,6 +255,27 @@ def test_warc_table_round_trip(spark, tmp_path):
     assert [r.record_id.split("/")[0] for r in warc.read_archive(spark, str(tmp_path / "b")).where("not intact").collect()] == ["7"]
 
 
+def test_warc_ties_extra_columns_and_nothing(spark, tmp_path):
+    page = "é" * 200
+    rows = [(9, "b", page), (9, "a", page), (9, "a", page), (None, "c", page), (12, None, page), (1, "u", "s" * 99), (2, "u", "s" * 99)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("payload", "first", "record_id", "key", "n", "data", "payload_digest")})
+    warc.write_archive(warc.classify(d), str(tmp_path / "t"))
+    got = warc.read_archive(spark, str(tmp_path / "t")).collect()
+    kinds = sorted((r.record_id.split("/")[0], r.url, r.warc_type) for r in got)
+    assert kinds == sorted([("9", "a", "response"), ("9", "a", "response"), ("9", "b", "revisit"), ("null", "c", "revisit"), ("12", "", "revisit"), ("1", "u", "response"), ("2", "u", "response")])
+    assert {r.refers_to for r in got if r.warc_type == "revisit"} == {"9"} and all(r.intact for r in got)
+    warc.write_archive(warc.classify(d.limit(0)), str(tmp_path / "n"))
+    assert warc.read_archive(spark, str(tmp_path / "n")).count() == 0
+
+
+def test_warc_oversized_payload(spark, tmp_path):
+    d = spark.range(2).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.concat(F.lit("日本"), F.col("id").cast("string")), 6_000_000).alias("html"))
+    warc.write_archive(warc.classify(d), str(tmp_path / "o"))
+    got = {r.record_id.split("/")[0]: r for r in warc.read_archive(spark, str(tmp_path / "o")).collect()}
+    for i in "01":
+        assert got[i].intact and got[i].payload_bytes == 42_000_000 and got[i].payload_digest == hashlib.sha256(("日本" + i).encode() * 6_000_000).hexdigest()
+
+
 # 6
 def test_text_stats(spark):
     rows = [*EDGE, (20, "a b c d e f a b c d e g\nsame line\nsame line\n\n#x $"), (21, "z " * 12)]
@@ -231,6 +305,17 @@ def test_rules_edges(spark):
     assert quality_rules.apply_rules(docs(spark, []), labels(spark)).count() == 0
 
 
+def test_all_rules_together_stay_within_alpha(spark):
+    rows = [(i, "plain words stand here in a row of ten words " + ("# $ % & | < > " * 3 if i % 100 == 0 else "") + ("longestwordofall" * 9 if i % 100 == 1 else "") + f" n{i}") for i in range(4000)]
+    d = docs(spark, rows)
+    good = labels(spark, [(i, 1, 0) for i in range(0, 4000)])
+    got = quality_rules.apply_rules(d, good, alpha=0.01).collect()
+    lost = sum(not r.kept and not r.base_failed for r in got)
+    assert lost <= 0.01 * len(got)  # each of two rules alone would lose 1 %
+    loose = quality_rules.apply_rules(d, good, alpha=0.2).collect()
+    assert 0 < sum(not r.kept and not r.base_failed for r in loose) <= 0.2 * len(loose)
+
+
 # 7
 @pytest.mark.parametrize("small", [1, 8])
 def test_near_duplicates_against_all_pairs(spark, monkeypatch, small):
@@ -265,6 +350,40 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, small):
     assert near_dup.near_duplicates(docs(spark, []), 3, 85, 100).count() == 0
 
 
+def test_repeated_ids_are_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b), (11, c), (12, c), (12, "z1 z2 z3"), (2, "z1 z2 z3"), (20, "alone here now"), (20, "")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near_dup.near_duplicates(docs(spark, rows), 3, 85, 100).collect()}
+    assert got == {(3, 28): 3, (5, 28): 3, (9, 28): 3, (11, 28): 2, (12, 28): 2, (12, 1): 2, (2, 1): 2, (20, 1): 20, (20, 0): 20}
+
+
+@pytest.mark.parametrize("n, num", [(5, 80), (3, 85)])
+def test_near_duplicates_of_all_documents(spark, n, num):
+    from collections import Counter, defaultdict
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets, where = {}, defaultdict(list)
+    for r in d.collect():
+        w = words(r.text)
+        sets[r.doc_id] = {" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+        for g in sets[r.doc_id]:
+            where[g].append(r.doc_id)
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, s in sets.items():
+        for j, both in Counter(j for g in s for j in where[g] if j > i).items():
+            if 100 * both >= num * (len(s) + len(sets[j]) - both):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(d, n, num, 100).collect()}
+    assert got == {i: root(i) for i in sets} and len(set(got.values())) < len(got)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 3000, dtype=np.uint64)
@@ -276,36 +395,143 @@ def test_registers_estimate_similarity():
 
 # 8
 def test_licenses(spark):
-    rows = [*EDGE, (30, "The MIT License. mit LICENSE"), (31, "Licensed under the Apache License, Version 2.0."), (32, "GNU Lesser General Public License v2.1"), (33, "SPDX-License-Identifier: BSD-3-Clause"), (34, "permit license smitten")]
-    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows, extra=True)).collect()}
-    assert (got[30].n_base, got[30].first_word, got[30].last_word, got[30].labels) == (2, 1, 3, "mit")
-    assert got[31].labels == "apache,apache-2.0" and got[32].labels == "gpl,lgpl-2.1" and got[33].labels == "bsd-3-clause"
-    assert (got[34].n_base, got[34].labels, got[34].score) == (0, "", 0.0) and got[1].n_words == 0
-    assert len(licenses.build_rules()) > 200
+    long = "word " * 300_000 + "Permission is hereby\n * granted, free of charge, to any person obtaining a copy"
+    rows = [*EDGE, (30, "The MIT License. mit LICENSE"), (31, "Licensed under the Apache License, Version 2.0."), (32, "GNU Lesser General Public License v2.1"), (33, "SPDX-License-Identifier: BSD-3-Clause"), (34, "permit license smitten"), (35, long), (35, "GNU General\nPublic License version 2")]
+    got = {(r.doc_id, r.n_words): r for r in licenses.scan(docs(spark, rows, extra=True)).collect()}
+    one = {i: r for (i, _), r in got.items()}
+    assert (one[30].n_base, one[30].first_word, one[30].last_word, one[30].labels) == (2, 1, 3, "mit")
+    assert one[31].labels == "apache,apache-2.0" and one[32].labels == "gpl,lgpl-2.1" and one[33].labels == "bsd-3-clause"
+    assert (one[34].n_base, one[34].labels, one[34].score) == (0, "", 0.0) and one[1].n_words == 0
+    assert got[35, 300_013].labels == "mit" and got[35, 6].labels == "gpl,gpl-2.0"
+    assert licenses.scan(docs(spark, [])).count() == 0
+    assert len(license_rules.SIGNATURES.strip().splitlines()) > 200
+
+
+def samples(nodes):
+    """Strings that a parsed pattern matches; every alternative is in one of them."""
+    sre, out = license_rules.sre, []
+    for op, arg in nodes:
+        if op is sre.LITERAL:
+            out.append([chr(arg)])
+        elif op is sre.ANY:
+            out.append(["z"])
+        elif op is sre.IN:
+            kind, value = arg[0]
+            out.append([chr(value) if kind is sre.LITERAL else chr(value[0]) if kind is sre.RANGE else {sre.CATEGORY_SPACE: " ", sre.CATEGORY_DIGIT: "1"}.get(value, "w")])
+        elif op is sre.SUBPATTERN:
+            out.append(samples(arg[-1]))
+        elif op is sre.BRANCH:
+            out.append([s for side in arg[1] for s in samples(side)])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            once = samples(arg[2])
+            out.append([s * max(arg[0], 1) for s in once] + ([""] if arg[0] == 0 else []))
+        else:
+            assert op in (sre.AT, sre.ASSERT_NOT)
+    return ["".join(v[k % len(v)] for v in out) for k in range(max(map(len, out), default=1))] if out else [""]
+
+
+def test_every_licence_rule_passes_the_prefilter_wrapped_or_not():
+    scanner, seen = licenses.Scanner(), 0
+    for i, r in enumerate(scanner.rules):
+        for s in samples(license_rules.sre.parse(r.pattern)):
+            for text in (s, re.sub(r"\s+", "\n", s), re.sub(r"\s+", "  ", s)):
+                if scanner.compiled[i].search(text):
+                    seen += 1
+                    assert i in scanner.candidates(text), (r, text)
+                else:
+                    assert text != s or "(?!" in r.pattern, (r, text)
+        assert scanner.compiled[i].search(re.sub(r"\s+", "\n", samples(license_rules.sre.parse(r.pattern))[0])), r
+    assert seen > 3 * len(scanner.rules)
+
+
+def test_license_scan_against_all_rules_and_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in licenses.op8_license_scan(spark, sf).collect()}
+    scanner = licenses.Scanner()
+    every = list(range(len(scanner.rules)))
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        low = (r.text or "").encode().translate(licenses._UPPER).decode()
+        want = scanner.detections(low, every)
+        assert [(d.start, d.end, d.rule) for d in got[r.doc_id].detections] == [(a, b, x.name) for a, b, x in want]
+    sql = f"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM '{sf}/documents.parquet'),
+    p AS (SELECT doc_id, unnest(range(0, len(ws))) AS i, ws FROM w),
+    h AS (SELECT doc_id, i, CASE WHEN ws[i + 1] = 'mit' AND ws[i + 2] = 'license' THEN 'mit' WHEN ws[i + 1] = 'apache' AND ws[i + 2] = 'license' THEN 'apache'
+        WHEN ws[i + 1] = 'general' AND ws[i + 2] = 'public' AND ws[i + 3] = 'license' THEN 'gpl' END AS label FROM p)
+    SELECT w.doc_id, len(ws), count(label), min(i) FILTER (label IS NOT NULL), max(i) FILTER (label IS NOT NULL), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '')
+    FROM w LEFT JOIN h USING (doc_id) GROUP BY w.doc_id, ws"""
+    rows = duckdb.sql(sql).fetchall()
+    assert len(rows) == len(got) and any(n for _, _, n, *_ in rows)
+    for i, *rest in rows:
+        r = got[i]
+        assert [r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels] == rest
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
 def test_containment():
-    rules = tuple(licenses.Rule(n, n, f, p, 1.0, n, (n,)) for n, f, p in (("a", "x", 9), ("b", "x", 5), ("c", "y", 10)))
+    rules = tuple(license_rules.Rule(n, n, f, p, 1.0, n) for n, f, p in (("a", "x", 9), ("b", "x", 5), ("c", "y", 10)))
     assert licenses.suppress([(0, 10, 0), (2, 5, 1), (3, 6, 2), (0, 10, 1), (9, 12, 1)], rules) == [(0, 10, 0), (3, 6, 2), (9, 12, 1)]
 
 
 # 9
-@pytest.mark.parametrize("sets", [1, 1 << 8])
-def test_byte_bpe_equals_tiktoken(spark, sets):
+@pytest.mark.parametrize("known", [3, 1 << 18])
+def test_byte_bpe_equals_tiktoken(spark, known):
     import tiktoken
 
     ranks = byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = [t for _, t in EDGE] + ["! a! !", "  \n\n\t x　y\x85z \x1c", "I'll don't 'S", "नमस्ते 👍🏽", "a" * 2000, "\\d \0 ￿ q", "<|endoftext|>\r\n \r\n"]
-    d = docs(spark, list(enumerate(texts)), extra=True)
+    texts = [t for _, t in EDGE] + ["! a! !", "  \n\n\t x　y\x85z \x1c", "I'll don't 'S", "नमस्ते 👍🏽", "a" * 200, "a" * 2000, "\\d \0 ￿ q", "<|endoftext|>\r\n \r\n", "thequickbrownfox" * 40 + " end", "ab cd " * 50_000, "-" * 300 + "é" * 300]
+    d = docs(spark, list(enumerate(texts)) + [(None, "no id"), (0, "another text")], extra=True)
     codec = byte_bpe.public_codec(spark)
-    for r in codec.encode(d, sets).select("doc_id", F.encode("ids_chars", "UTF-16LE").alias("ids"), "decoded").collect():
-        t = texts[r.doc_id] or ""
+    got = codec.encode(d, known).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [0, *range(len(texts))]
+    for r in got:
+        t = bytes(r.decoded).decode()
+        assert t in ("no id", "another text") or t == (texts[r.doc_id] or "")
         ids = enc.encode_ordinary(t)
-        assert bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids) and r.decoded == t
+        assert bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids)
     assert byte_bpe.digests(docs(spark, []), codec).count() == 0
 
 
+def test_byte_bpe_of_all_documents(spark):
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in byte_bpe.op9_byte_bpe(spark, sf).collect():
+        ids = enc.encode_ordinary(texts.pop(r.doc_id))
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(enc.decode(ids).encode()).hexdigest()
+    assert not texts
+
+
+def test_words_are_the_matches_of_the_pattern():
+    import regex
+
+    cut = regex.compile(P.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+    assert byte_bpe.PATTERN == P.PATTERN
+    rng = np.random.default_rng(5)
+    parts = ["'", "''", "s", "'s", "'re", "'ll", "'LL", "t", "ve", " ", "  ", "\n", "\t ", " \n", "　", "\x1c", "a", "É", "日", "1", "½", ".", "_", "😀", "\u0301", "\xa0", "don't", "\r\n"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts, rng.integers(1, 12)))
+        assert byte_bpe.words(text) == cut(text), repr(text)
+
+
+def test_long_words_merge_in_rank_order():
+    import tiktoken
+
+    ranks = byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 50, 400, 3000):
+        w = "".join(rng.choice(list("aeinrst éü"), n))
+        assert byte_bpe.merged(w.encode(), ranks) == enc.encode_ordinary(w)
+
+
 # 10
 def test_chat_fold(spark):
     e = [(1, 1, 0, "message", "user", "hi"), (1, 2, 1, "message", "assistant", "He"), (1, 3, 1, "delta", None, "llo"), (1, 4, 2, "message", "user", "more"), (1, 5, 1, "edit", None, "Hello!"), (1, 6, 3, "message", "assistant", "old"), (1, 7, 1, "regenerate", "assistant", "New"), (1, 8, 1, "delta", None, " one"), (1, 9, 2, "message", "user", "then"), (None, None, None, None, None, None), (2, 1, 0, "delta", "user", "lone")]
@@ -316,16 +542,23 @@ def test_chat_fold(spark):
 
 
 def test_chat_escapes_and_mask(spark):
-    texts = [r"\### Assistant: </turn> ok", "\\b\\e\\h", "####</turn></turn", "</turn>\n", "", "x" * 20_000, "a\\"]
-    rows = [(i, 0, 0, "message", "assistant", t) for i, t in enumerate(texts)] + [(i, 1, 1, "message", "us:er###", t) for i, t in enumerate(texts)]
+    texts = [r"\### Assistant: </turn> ok", "\\b\\e\\h", "####</turn></turn", "</turn>\n", "", "x" * 20_000, "a\\", "﻿😀 é", "日" * 9]
+    rows = [(i, 0, 0, "message", "assistant", t) for i, t in enumerate(texts)] + [(i, 1, 1, "message", "us:er###", t) for i, t in enumerate(texts)] + [(i, 2, 2, "message", "assistant", f"{t}!") for i, t in enumerate(texts)]
     d = spark.createDataFrame(rows, "conv_id long, seq long, turn long, kind string, role string, text string")
-    for r in chat.parse(chat.render(chat.reconstruct(d))).collect():
-        assert [(t.role, t.text) for t in r.turns] == [("assistant", texts[r.conv_id]), ("us:er###", texts[r.conv_id])]
-        (s,) = r.loss_spans
-        body = r.formatted[s.start : s.start + s.len]
-        for code, plain in (("\\h", "###"), ("\\e", "</turn>"), ("\\b", "\\")):
-            body = body.replace(code, plain)
-        assert body == texts[r.conv_id]
+    rendered = chat.render(chat.reconstruct(d))
+    for r in chat.parse(rendered).collect():
+        t = texts[r.conv_id]
+        assert [(x.role, x.text) for x in r.turns] == [("assistant", t), ("us:er###", t), ("assistant", f"{t}!")]
+        assert r.loss == [t, f"{t}!"] and len(r.loss_spans) == 2
+        for s, want in zip(r.loss_spans, r.loss, strict=True):
+            body = r.formatted[s.start : s.start + s.len]
+            for code, plain in (("\\h", "###"), ("\\e", "</turn>"), ("\\b", "\\")):
+                body = body.replace(code, plain)
+            assert body == want
+    # The loss is what lies under the mask, not what the turns say.
+    moved = rendered.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s.start + 1).alias("start"), s.len.alias("len"))))
+    assert [r.loss[0] for r in chat.parse(moved).where("conv_id = 5").collect()] == ["x" * 19_999 + "<"]
+    assert chat.parse(rendered.limit(0)).count() == 0
 
 
 def test_pipeline_stages(spark):
