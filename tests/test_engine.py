@@ -2,9 +2,12 @@
 
 import json
 import math
+import re
+import struct
 import zipfile
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sievework import gates
@@ -124,15 +127,64 @@ def test_overlaps(spark):
     assert [tuple(r) for r in splits.overlaps(got, "id").collect()] == [("a", "b", 1)]
 
 
-def test_perturbations():
-    text = "The quick brown fox jumps over the lazy dog " * 5
-    for family in perturb.FAMILIES:
-        assert perturb.perturb_text(text, family, 0.0, 1, 7) == text
-        assert perturb.perturb_text(text, family, 0.3, 1, 7) == perturb.perturb_text(text, family, 0.3, 1, 7) != text
-        assert perturb.perturb_text(None, family, 0.3, 1, 7) == ""
-    assert len(perturb.perturb_text(text, "case", 0.5, 1, 7)) == len(text)
-    with pytest.raises(ValueError):
-        perturb.perturb_text(text, "none", 0.1, 1, 7)
+def brute_perturbed(text, family, rate, seed, key):
+    """The rule in plain loops, over the same draws."""
+    bits = lambda data, s: xxhash.xxh64(data, seed=s).intdigest()
+    told = f"{seed}:{family}:{float(rate)!r}:" + ("\x00" if key is None else str(key))
+    k = bits(told.encode(), 42)
+    draw = lambda i, part: (bits(struct.pack("<i", i), bits(struct.pack("<Q", k), 42)) >> (20 * part) & 0xFFFFF) / 2**20
+    text, out = text or "", []
+    other = {a: b for pair in perturb.CONFUSED for a, b in (pair, pair[::-1])}
+    if family == "ocr":
+        units = re.findall("(?s)cl|rn|.", text)
+        return "".join(other.get(c, c) if draw(i, 0) < rate else c for i, c in enumerate(units))
+    if family == "case":
+        swap = lambda c: c.upper() if c == c.lower() else c.lower()
+        return "".join(swap(c) if draw(i, 0) < rate and len(swap(c)) == 1 else c for i, c in enumerate(text))
+
+    def near(i):
+        keys = perturb.NEIGHBOURS.get(text[i].lower())
+        if not keys:
+            return text[i]
+        c = keys[int(draw(i, 2) * len(keys))]
+        return c if text[i] == text[i].lower() else c.upper()
+
+    hit = [draw(i, 0) < rate and not c.isspace() for i, c in enumerate(text)]
+    asks = [h and 0.6 <= draw(i, 1) < 0.8 for i, h in enumerate(hit)]
+    moves = [a and not (i and asks[i - 1]) and i + 1 < len(text) for i, a in enumerate(asks)]
+    for i, c in enumerate(text):
+        u = draw(i, 1)
+        if moves[i]:
+            out.append(text[i + 1])
+        elif i and moves[i - 1]:
+            out.append(text[i - 1])
+        elif not hit[i] or 0.6 <= u < 0.8:
+            out.append(c)
+        else:
+            out.append(near(i) if u < 0.4 else "" if u < 0.6 else c + near(i))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("family", perturb.FAMILIES)
+def test_perturbations(spark, family):
+    texts = ["The quick brown fox jumps over the lazy dog " * 5, "clear corn B0lS1 mm\n\trn é ß İ 😀 Ab", "", None, "x", "  \n"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0])]
+    d = frame(spark, rows, "id long, text string")
+    for rate in (0.0, 0.3, 1.0):
+        got = {r.id: r.t for r in d.repartition(5).select("id", perturb.perturbed("text", "id", family, rate, 7).alias("t")).collect()}
+        assert got == {i: brute_perturbed(t, family, rate, 7, i) if rate else t or "" for i, t in rows}
+    assert {r.id: r.text for r in perturb.apply(d, "text", "id", None).collect()} == dict(rows)
+    changed = perturb.apply(d, "text", "id", perturb.Perturbation(family, 0.3, 8)).where("id = 0").first().text
+    assert changed not in (texts[0], got[0])
+
+
+def test_perturbation_config():
+    block = {"family": "typo", "rate": 0.1, "seed": 3}
+    assert perturb.Perturbation.of_config({"perturbation": block}) == perturb.Perturbation("typo", 0.1, 3)
+    assert perturb.Perturbation.of_config({}) is None
+    for bad in ({**block, "extra": 1}, {**block, "rate": 1.5}, {**block, "rate": True}, {**block, "seed": 0.5}, {**block, "family": "none"}, {"family": "typo"}, "typo"):
+        with pytest.raises(ValueError):
+            perturb.Perturbation.of_config({"perturbation": bad})
 
 
 def test_csv_ingest(spark, tmp_path):
