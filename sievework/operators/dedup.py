@@ -7,18 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.sql.window import Window
 
-from sievework.functions.text import shingles, tokens
+from sievework.functions.text import normalized, shingles, tokens
 from sievework.session import bound_batches, stored, table
 
 #: 8 bands of 16 rows: a pair of Jaccard j is linked with chance 1 - (1 - j^16)^8, one half at 0.878.
 NUM_PERM, ROWS_PER_BAND = 128, 16
+SHINGLE = 5
 SIGN_BLOCK = 512  # shingles at a time, so that the products stay in the cache
+#: Hashes are polynomials modulo 2^64: over the bytes of a word, then over the mixed hashes of a shingle's words.
+BYTE_BASE, WORD_BASE, MIX, EMPTY_HASH = 0x100000001B3, 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 1
+_U = np.uint64
 
 
 def shingled(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -26,32 +29,76 @@ def shingled(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, tokens(F.col(text)).alias("t")).select(key, shingles(F.col("t")).alias("s"))
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
+def permutations() -> tuple[np.ndarray, np.ndarray]:
     """Factors (odd) and summands of the affine maps modulo 2^64 that stand for permutations."""
     at = lambda kind, i: int.from_bytes(hashlib.md5(f"{kind}:{i}".encode()).digest()[:8], "big")
     return np.array([[at("a", i) | 1] for i in range(NUM_PERM)], np.uint64), np.array([[at("b", i)] for i in range(NUM_PERM)], np.uint64)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(32))) * _U(MIX)
+    return x ^ (x >> _U(29))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def shingle_hashes(raw: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Per text, the hashes of its shingles. Texts are normalised, one after another in ``raw``, text i up to ``ends[i]``."""
+    letter = raw != 32
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    begins = np.concatenate(([0], ends[:-1]))
+    inner = begins[(begins > 0) & (begins < len(raw))]
+    first[inner] = letter[inner]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return [np.array([EMPTY_HASH], np.uint64) for _ in ends]
+    sizes = np.diff(np.concatenate((starts, [len(raw)])))
+    place = np.zeros(len(raw), np.int64)  # within a word; what lies before the first word is blank
+    place[starts[0] :] = np.arange(len(raw) - starts[0]) - np.repeat(starts - starts[0], sizes)
+    values = np.where(letter, raw.astype(np.uint64) + _U(1), _U(0))
+    words = mixed(np.add.reduceat(values * _powers(BYTE_BASE, int(place.max()) + 1)[place], starts))
+    step = _powers(WORD_BASE, SHINGLE)
+    of = np.searchsorted(starts, np.concatenate(([0], ends)))  # words of text i: of[i] up to of[i + 1]
+    n = max(len(words) - SHINGLE + 1, 0)
+    every = mixed(sum((words[k : k + n] * step[k] for k in range(SHINGLE)), np.zeros(n, np.uint64)))
+    out = []
+    for a, b in zip(of[:-1], of[1:], strict=True):
+        if b - a >= SHINGLE:
+            out.append(every[a : b - SHINGLE + 1])
+        elif b > a:
+            out.append(mixed((words[a:b] * step[: b - a]).sum(keepdims=True)))
+        else:
+            out.append(np.array([EMPTY_HASH], np.uint64))
+    return out
+
+
+def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
+    """The ``NUM_PERM`` minima of shingle hashes, 32 bits each."""
+    low = np.full(NUM_PERM, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), SIGN_BLOCK):
+        np.minimum(low, (a * shingles[k : k + SIGN_BLOCK] + b).min(axis=1), out=low)
+    return (low >> _U(32)).astype(">u4").tobytes()
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a row's shingle hashes the ``NUM_PERM`` minima, 32 bits each, in one binary value."""
-    a, b = _permutations()
+    a, b = permutations()
     for batch in batches:
-        out = []
-        lists = batch.column(1)
-        flat, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        for start, end in zip([0, *ends[:-1]], ends, strict=True):
-            low = np.full(NUM_PERM, np.iinfo(np.uint64).max, np.uint64)
-            for k in range(start, end, SIGN_BLOCK):
-                np.minimum(low, (a * flat[k : min(k + SIGN_BLOCK, end)] + b).min(axis=1), out=low)
-            out.append((low >> np.uint64(32)).astype(">u4").tobytes())
+        texts = batch.column(1).cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        out = [signature(s, a, b) for s in shingle_hashes(raw, offsets[1:] - offsets[0])] if len(texts) else []
         yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=[batch.schema.names[0], "sig"])
 
 
 def bands(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, band, key``: each band's key is ``ROWS_PER_BAND`` minima of the document's ``NUM_PERM``, side by side."""
     bound_batches(docs.sparkSession)
-    hashes = shingled(docs, key, text).select(key, F.transform("s", lambda g: F.xxhash64(g)).alias("h"))
-    signed = hashes.mapInArrow(_sign, StructType([docs.schema[key], StructField("sig", BinaryType())]))
+    signed = docs.select(key, normalized(F.col(text)).alias("t")).mapInArrow(_sign, StructType([docs.schema[key], StructField("sig", BinaryType())]))
     size = 4 * ROWS_PER_BAND
     each = F.array(*(F.struct(F.lit(b).alias("band"), F.substring("sig", size * b + 1, size).alias("key")) for b in range(NUM_PERM // ROWS_PER_BAND)))
     return signed.select(key, F.explode(each).alias("x")).select(key, "x.*")

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from sievework.functions import text as tx
 from sievework.functions.stats import ratio, wilson
-from sievework.operators import costs, drift, metrics, ranking, resampling
+from sievework.operators import costs, dedup, drift, metrics, ranking, resampling
 from sievework.operators import splits as sp
 from sievework.session import table
 
@@ -178,30 +178,51 @@ def token_counts(spark, d):
 _TOK = f"list_filter(string_split({_NORM}, ' '), lambda x: x <> '')"
 _SH = f"""s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [chr(0) || 'EMPTY' || chr(0)] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
   ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(list_slice(t, i, i + 4), ' ')) END) AS g FROM (SELECT doc_id, {_TOK} AS t FROM documents))"""
-_BANDS = f"""{_SH}, m AS (SELECT doc_id, b, min(md5(b || ':' || g)) AS k FROM s, range(8) x(b) GROUP BY 1, 2)"""
+_M = "18446744073709551616::UHUGEINT"  # hashes are modulo 2^64
+
+
+def _mixed(source: str, col: str, keep: str) -> str:
+    """Two selects around ``source``: ``col`` (UBIGINT) becomes its mixed hash ``m`` (UHUGEINT)."""
+    inner = f"SELECT {keep}, ((xor({col}, {col} >> 32)::UHUGEINT * {dedup.MIX}::UHUGEINT) % {_M})::UBIGINT AS y FROM ({source})"
+    return f"SELECT {keep}, xor(y, y >> 29)::UHUGEINT AS m FROM ({inner})"
+
+
+def _bands_sql() -> str:
+    a, b = (x.ravel().tolist() for x in dedup.permutations())
+    perms = ", ".join(f"({i}, {p}::UHUGEINT, {q}::UHUGEINT)" for i, (p, q) in enumerate(zip(a, b, strict=True)))
+    word = f"SELECT w, list_reduce(list_transform(string_split(reverse(w), ''), lambda c: (ascii(c) + 1)::UHUGEINT), lambda x, y: (x * {dedup.BYTE_BASE}::UHUGEINT + y) % {_M})::UBIGINT AS h FROM (SELECT DISTINCT w FROM k)"
+    step = [pow(dedup.WORD_BASE, i, 1 << 64) for i in range(dedup.SHINGLE)]
+    terms = " + ".join(f"(coalesce(lead(m, {i}) OVER d, 0::UHUGEINT) * {x}::UHUGEINT) % {_M}" for i, x in enumerate(step))
+    return f"""t AS (SELECT doc_id, {_TOK} AS t FROM documents),
+k AS (SELECT doc_id, i, t[i] AS w, len(t) AS n FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM t)),
+mw AS ({_mixed(word, 'h', 'w')}),
+p AS (SELECT doc_id, i, n, (({terms}) % {_M})::UBIGINT AS h FROM k JOIN mw USING (w) WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+s AS ({_mixed(f'SELECT doc_id, h FROM p WHERE i <= greatest(n - {dedup.SHINGLE - 1}, 1)', 'h', 'doc_id')} UNION ALL SELECT doc_id, {dedup.EMPTY_HASH}::UHUGEINT FROM t WHERE len(t) = 0),
+perms(i, a, b) AS (VALUES {perms}),
+g AS (SELECT doc_id, i, min((m * a + b) % {_M}) // 4294967296::UHUGEINT AS low FROM s, perms GROUP BY 1, 2),
+m AS (SELECT doc_id, i // {dedup.ROWS_PER_BAND} AS b, string_agg(low::VARCHAR, ',' ORDER BY i) AS k FROM g GROUP BY 1, 2)"""
+
+
+_BANDS = _bands_sql()
 
 
 @query("lsh_bands", f"WITH {_BANDS}, c AS (SELECT b, k, count(*) AS size FROM m GROUP BY 1, 2) SELECT b::INT AS band, size, count(*) AS n FROM c GROUP BY 1, 2")
 def lsh_bands(spark, d):
-    from sievework.operators import dedup
-
     c = dedup.bands(table(spark, d, "documents"), "doc_id", "text").groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"))
     return c.groupBy("band", "size").agg(F.count(F.lit(1)).alias("n"))
 
 
 _CLUSTER = f"""RECURSIVE {_BANDS}, e AS (SELECT DISTINCT doc_id AS u, min(doc_id) OVER (PARTITION BY b, k) AS v FROM m),
 f AS (SELECT u, v FROM e UNION SELECT v, u FROM e), reach(node, top) AS (SELECT DISTINCT u, u FROM f UNION SELECT f.v, reach.top FROM reach JOIN f ON f.u = reach.node),
-k AS (SELECT node AS doc_id, min(top) AS cluster_id FROM reach GROUP BY 1)"""
+cl AS (SELECT node AS doc_id, min(top) AS cluster_id FROM reach GROUP BY 1)"""
 
 
-@query("dedup_clusters", f"WITH {_CLUSTER} SELECT doc_id, cluster_id, doc_id = cluster_id AS kept FROM k")
+@query("dedup_clusters", f"WITH {_CLUSTER} SELECT doc_id, cluster_id, doc_id = cluster_id AS kept FROM cl")
 def dedup_clusters(spark, d):
-    from sievework.operators import dedup
-
     return dedup.clusters(table(spark, d, "documents").withColumn("day", F.lit(0)), "doc_id", "text", "day")
 
 
-@query("cluster_size_histogram", f"WITH {_CLUSTER}, z AS (SELECT cluster_id, count(*) AS size FROM k GROUP BY 1) SELECT size, count(*) AS n FROM z GROUP BY 1")
+@query("cluster_size_histogram", f"WITH {_CLUSTER}, z AS (SELECT cluster_id, count(*) AS size FROM cl GROUP BY 1) SELECT size, count(*) AS n FROM z GROUP BY 1")
 def cluster_size_histogram(spark, d):
     return dedup_clusters(spark, d).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n"))
 
@@ -211,15 +232,11 @@ _BEN = _SH.replace("s AS", "bs AS", 1).replace("doc_id", "item_id").replace("FRO
 
 @query("shingle_jaccard", f"WITH {_SH}, {_BEN}, n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1), i AS (SELECT doc_id, item_id, count(*) AS i FROM s JOIN bs USING (g) GROUP BY 1, 2) SELECT i.doc_id, i.item_id, i.i AS shared, round(i.i / (n.n + bn.n - i.i)::DOUBLE, 6) AS jaccard FROM i JOIN n USING (doc_id) JOIN bn USING (item_id)")
 def shingle_jaccard(spark, d):
-    from sievework.operators import dedup
-
     return dedup.shared_shingles(spark, d).select("doc_id", "item_id", "shared", r6(F.col("shared") / (F.col("n_doc") + F.col("n_item") - F.col("shared")), "jaccard"))
 
 
 @query("leakage_check", f"WITH {_SH}, {_BEN}, bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1), i AS (SELECT doc_id, item_id, count(*) AS i FROM s JOIN bs USING (g) GROUP BY 1, 2) SELECT i.doc_id, i.item_id FROM i JOIN bn USING (item_id) WHERE i.i >= 0.5 * bn.n")
 def leakage_check(spark, d):
-    from sievework.operators import dedup
-
     return dedup.shared_shingles(spark, d).where(F.col("shared") >= 0.5 * F.col("n_item")).select("doc_id", "item_id")
 
 
