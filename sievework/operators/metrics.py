@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.stats import ratio
-from sievework.operators.ranking import ranked
+from sievework.operators.ranking import ranked, running
 
 
 def class_dim(df: DataFrame, labels: list[str]) -> DataFrame:
@@ -66,15 +66,9 @@ def brier(df: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def risk_coverage(df: DataFrame, key: str) -> DataFrame:
-    """Per rank (confidence descending, key ascending): cumulative errors over the whole frame, in two levels."""
-    r = ranked(df.select(key, "p_max", "correct"), F.col("p_max").desc(), F.col(key).asc())
-    # Errors before a row: those of whole confidence values above it, and those of its own value ranked before it.
-    from pyspark.sql.window import Window
-
-    per = r.groupBy("p_max").agg(F.sum(1 - F.col("correct")).alias("e"))
-    above = per.select("p_max", F.coalesce(F.sum("e").over(Window.orderBy(F.col("p_max").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
-    own = F.sum(1 - F.col("correct")).over(Window.partitionBy("p_max").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return r.withColumn("own", own).join(above, "p_max").select(key, "rank", (F.col("above") + F.col("own")).alias("errors"), "correct")
+    """Per rank (confidence descending, key ascending): cumulative errors over the whole frame."""
+    rows = df.select(key, "p_max", "correct")
+    return running(rows, [F.col("p_max").desc(), F.col(key).asc()], {"errors": 1 - F.col("correct")}).select(key, "rank", "errors", "correct")
 
 
 def aurc(curve: DataFrame) -> DataFrame:

@@ -37,28 +37,34 @@ def latest(df: DataFrame, group: str, order: str, tie: str) -> DataFrame:
     return df.groupBy(group).agg(F.max(F.struct(order, tie)).alias("m")).select(group, f"m.{order}", f"m.{tie}")
 
 
-def ranked(df: DataFrame, *order: Column) -> DataFrame:
-    """Adds ``rank`` (from 1) over the whole frame without a one-task window.
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds ``rank`` (from 1) and running sums over the whole frame without a one-task window.
 
-    Rows are dealt by ranges of the order; each range numbers its own rows, and the ranges' sizes (one row per
-    partition) give the offsets. The ranges are written first, so their numbers hold when tasks are lost.
+    Rows are dealt by ranges of the order; each range numbers and sums its own rows, and the ranges' totals (one row
+    per partition) give the offsets. The ranges are written first, so their numbers hold when tasks are lost. Ties
+    that the order doesn't break are split between ranges as Spark deals them, so the order should end in a key.
     """
-    dealt = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = stored(df.withColumns(sums).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(k).alias(f"_t_{k}") for k in sums))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn("_own", own).join(offsets, "_part").withColumn("rank", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+    before = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0))
+    offsets = totals.select("_part", before("_n").alias("_n"), *(before(f"_t_{k}").alias(f"_t_{k}") for k in sums))
+    own = Window.partitionBy("_part").orderBy(*order)
+    here = own.rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt.withColumns({"_own": F.row_number().over(own)} | {k: F.sum(k).over(here) for k in sums})
+    whole = {"rank": F.col("_own") + F.col("_n")} | {k: F.col(k) + F.col(f"_t_{k}") for k in sums}
+    return rows.join(F.broadcast(offsets), "_part").withColumns(whole).drop("_part", "_own", "_n", *(f"_t_{k}" for k in sums))
 
 
-def prefix_sums(df: DataFrame, value: str, sums: dict[str, Column]) -> DataFrame:
-    """Per distinct value, descending: each sum over all rows at or above it (ties together).
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """Adds ``rank`` (from 1) over the whole frame."""
+    return running(df, list(order), {})
 
-    Rows are aggregated per value first; only distinct values are windowed.
-    """
+
+def prefix_sums(df: DataFrame, value: str, sums: dict[str, Column]) -> DataFrame:
+    """Per distinct value, descending: each sum over all rows at or above it (ties together)."""
     per = df.groupBy(value).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
-    w = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(value, *(F.sum(k).over(w).alias(k) for k in sums))
+    return running(per, [F.col(value).desc()], {k: F.col(k) for k in sums}).select(value, *sums)
 
 
 def evenly_spaced(n: int, most: int) -> list[int]:

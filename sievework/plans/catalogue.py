@@ -385,30 +385,44 @@ def mcnemar_counts(spark, d):
     return w.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("x") == 1) & (F.col("y") == 0)).alias("b"), F.count_if((F.col("x") == 0) & (F.col("y") == 1)).alias("c"))
 
 
-REPS = 20
-_U = "('0x' || md5('s:' || rep || ':' || o_orderkey)[1:8])::BIGINT::DOUBLE / 4294967296.0"
-_CDF = []
-_acc, _f = 0.0, 1
-for _i in range(8):
-    _f = _f * _i if _i else 1
-    _acc += 0.36787944117144233 / _f
-    _CDF.append(_acc)
-_W = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in _CDF)
-
-
-@query("bootstrap_means", f"WITH x AS (SELECT rep, o_totalprice AS v, {_U} AS u FROM orders, range({REPS}) r(rep)), w AS (SELECT rep, v, {_W} AS w FROM x) SELECT rep::INT AS rep, round(sum(w * v) / sum(w), 4) AS mean FROM w GROUP BY 1")
+REPS = 1000
+
+
+def _replicates(rows: str, seed: str) -> str:
+    """CTEs ``w(rep, v, w)``: the Poisson weight of every row of ``rows`` (k, v) in every replicate, by the operator's draws."""
+    mix = lambda x: f"((xor({x}, {x} >> 32)::UHUGEINT * {resampling.MIX}::UHUGEINT) % {_M})::UBIGINT"
+    late = "xor(y, y >> 29)"
+    weight = " + ".join(f"(d >= {x})::INT" for x in resampling.LIMITS)
+    return f"""r0 AS (SELECT v, ((k::UHUGEINT + {resampling.seed_number(seed)}::UHUGEINT) % {_M})::UBIGINT AS x FROM ({rows})),
+r1 AS (SELECT v, {mix('x')} AS y FROM r0), r2 AS (SELECT v, {late} AS own FROM r1),
+r3 AS (SELECT v, rep, ((own::UHUGEINT + (rep::UHUGEINT * {resampling.STEP}::UHUGEINT) % {_M}) % {_M})::UBIGINT AS x FROM r2, range({REPS}) z(rep)),
+r4 AS (SELECT v, rep, {mix('x')} AS y FROM r3), r5 AS (SELECT v, rep, {late} AS x FROM r4),
+r6 AS (SELECT v, rep, {mix('x')} AS y FROM r5), r7 AS (SELECT v, rep, {late} >> 32 AS d FROM r6),
+w AS (SELECT rep, v, {weight} AS w FROM r7)"""
+
+
+_ORDERS = _replicates("SELECT o_orderkey AS k, o_totalprice AS v FROM orders", "s")
+
+
+@query("bootstrap_means", f"WITH {_ORDERS} SELECT rep::INT AS rep, round(sum(w * v) / sum(w), 4) AS mean FROM w GROUP BY 1")
 def bootstrap_means(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     return resampling.replicate_means(o, "o_orderkey", {"mean": F.col("o_totalprice")}, REPS, "s").select("rep", F.round("mean", 4).alias("mean"))
 
 
-@query("bootstrap_band", f"WITH x AS (SELECT rep, o_totalprice AS v, {_U} AS u FROM orders, range({REPS}) r(rep)), w AS (SELECT rep, v, {_W} AS w FROM x), m AS (SELECT rep, sum(w * v) / sum(w) AS mean FROM w GROUP BY 1) SELECT 'mean' AS metric, round(quantile_cont(mean, 0.025), 4) AS lo, round(quantile_cont(mean, 0.975), 4) AS hi FROM m")
+@query("bootstrap_band", f"WITH {_ORDERS}, m AS (SELECT rep, sum(w * v) / sum(w) AS mean FROM w GROUP BY 1) SELECT 'mean' AS metric, round(quantile_cont(mean, 0.025), 4) AS lo, round(quantile_cont(mean, 0.975), 4) AS hi FROM m")
 def bootstrap_band(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     m = resampling.replicate_means(o, "o_orderkey", {"mean": F.col("o_totalprice")}, REPS, "s")
     return resampling.bands(m, "mean").select("metric", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
+@query("bootstrap_f1")
+def bootstrap_f1(spark, d):
+    got = resampling.replicate_f1(predictions(spark, d), "id", LABELS, REPS, "f")
+    return resampling.bands(got, "accuracy", "macro_f1").select("metric", r6("lo", "lo"), r6("hi", "hi"))
+
+
 @query("wilson_by_segment", """WITH s AS (SELECT c_mktsegment AS segment, count(*) FILTER (c_acctbal < 0)::DOUBLE AS f, count(*)::DOUBLE AS n FROM customer GROUP BY 1), z AS (SELECT 1.959963984540054::DOUBLE AS z)
 SELECT segment, round(greatest(((f/n + z*z/(2*n)) - z*sqrt(f/n*(1-f/n)/n + z*z/(4*n*n))) / (1 + z*z/n), 0), 6) AS lo, round(least(((f/n + z*z/(2*n)) + z*sqrt(f/n*(1-f/n)/n + z*z/(4*n*n))) / (1 + z*z/n), 1), 6) AS hi FROM s, z""")
 def wilson_by_segment(spark, d):
@@ -513,13 +527,14 @@ for _family, _rate in (("typo", 0.05), ("ocr", 0.1), ("case", 0.1)):
 
 # ---- cascades, claims, exemplars -------------------------------------------------------------------------------
 
-TAUS_B = (0.2, 0.4, 0.6, 0.8)
-_TB = ", ".join(f"({t}::DOUBLE)" for t in TAUS_B)
+_JOINT = f"""{_P}, x AS (SELECT p_max, correct, m11 / 11.0::DOUBLE AS p_b, (m7 <> 0)::INT AS correct_b, 0.05::DOUBLE AS cost_b FROM q),
+tb AS (SELECT DISTINCT p_b AS tau_b FROM x UNION ALL SELECT 'infinity'::DOUBLE),
+a AS (SELECT tau_b, p_max, count(*) AS n, sum({C_MISROUTE} * (1 - correct)) AS own, sum(cost_b + CASE WHEN p_b >= tau_b THEN {C_MISROUTE} * (1 - correct_b) ELSE {C_HUMAN} END) AS arm FROM x, tb GROUP BY 1, 2),
+g AS (SELECT tau_b, p_max AS tau_a, sum(n) OVER d AS k, sum(own) OVER d + sum(arm) OVER w - sum(arm) OVER d AS cost, sum(n) OVER w AS n FROM a WINDOW d AS (PARTITION BY tau_b ORDER BY p_max DESC ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY tau_b)
+  UNION ALL SELECT tau_b, 'infinity'::DOUBLE, 0, sum(arm), sum(n) FROM a GROUP BY 1)"""
 
 
-@query("joint_thresholds", f"""WITH {_P}, x AS (SELECT p_max, correct, m11 / 11.0::DOUBLE AS p_b, (m7 <> 0)::INT AS correct_b, 0.05::DOUBLE AS cost_b, tau_b FROM q, (VALUES {_TB}) t(tau_b)),
-a AS (SELECT tau_b, p_max, count(*) AS n, sum({C_MISROUTE} * (1 - correct)) AS own, sum(cost_b + CASE WHEN p_b >= tau_b THEN {C_MISROUTE} * (1 - correct_b) ELSE {C_HUMAN} END) AS arm FROM x GROUP BY 1, 2),
-g AS (SELECT tau_b, p_max AS tau_a, sum(n) OVER d AS k, sum(own) OVER d + sum(arm) OVER w - sum(arm) OVER d AS cost, sum(n) OVER w AS n FROM a WINDOW d AS (PARTITION BY tau_b ORDER BY p_max DESC ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY tau_b))
+@query("joint_thresholds", f"""WITH {_JOINT}
 SELECT tau_b, round(tau_a, 6) AS tau_a, k::BIGINT AS k, round(cost * 1000 / n, 5) AS cost_per_1k FROM g ORDER BY round(cost * 1000 / n, 6), k DESC, tau_b LIMIT 1""")
 def joint_thresholds(spark, d):
     from sievework.operators import claims
@@ -528,11 +543,11 @@ def joint_thresholds(spark, d):
     return claims.joint_thresholds(p, None, C_MISROUTE, C_HUMAN).select("tau_b", r6("tau_a", "tau_a"), "k", F.round("cost_per_1k", 5).alias("cost_per_1k"))
 
 
-_UO = "('0x' || md5('c:' || rep || ':' || id)[1:8])::BIGINT::DOUBLE / 4294967296.0"
+_DELTAS = _replicates("SELECT id AS k, y - x AS v FROM c", "c")
 
 
 @query("paired_claim", f"""WITH {_POL}, c AS (SELECT id, max(CASE WHEN policy = 'a' THEN correct END) AS x, max(CASE WHEN policy = 'a_to_arm' THEN CASE WHEN to_human THEN 1 ELSE correct END END) AS y FROM z GROUP BY 1),
-u AS (SELECT rep, y - x AS v, {_UO} AS u FROM c, range({REPS}) r(rep)), w AS (SELECT rep, v, {_W} AS w FROM u), m AS (SELECT rep, sum(w * v) / sum(w) AS mean FROM w GROUP BY 1),
+{_DELTAS}, m AS (SELECT rep, sum(w * v) / sum(w) AS mean FROM w GROUP BY 1),
 b AS (SELECT quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM m)
 SELECT 'accuracy' AS metric, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN lo > 0 THEN 'favorable' WHEN hi < 0 THEN 'adverse' ELSE 'not_established' END AS verdict FROM b""")
 def paired_claim(spark, d):
@@ -559,14 +574,14 @@ def cascade_paths(spark, d):
     return claims.cascade_paths(predictions(spark, d), 0.6).groupBy(F.array_join("path", ">").alias("path")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("as_of_events", "SELECT a.event_id, b.value FROM (SELECT * FROM events WHERE event_id % 10 = 1) a ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 10 <> 1 GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts >= b.ts")
+@query("as_of_events", "SELECT a.event_id, b.value FROM events a ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts > b.ts")
 def as_of_events(spark, d):
+    """Each event with the value of its user's event before it."""
     from sievework.streaming.windows import as_of
 
     e = table(spark, d, "events")
-    left = e.where("event_id % 10 = 1").select("event_id", "user_id", "ts")
-    right = e.where("event_id % 10 <> 1").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
-    return as_of(left, right, "user_id", "ts", "value").select("event_id", "value")
+    past = e.groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return as_of(e.select("event_id", "user_id", "ts"), past, "user_id", "ts", "value", strict=True).select("event_id", "value")
 
 
 @query("dominance", f"WITH {_POL}, c AS (SELECT policy, avg(CASE WHEN NOT to_human AND correct = 0 THEN {C_MISROUTE} ELSE 0 END + api + CASE WHEN to_human THEN {C_HUMAN} ELSE 0 END) AS cost FROM z GROUP BY 1) SELECT a.policy, count(b.policy) AS n_beaten FROM c a LEFT JOIN c b ON a.cost < b.cost - 1e-9 GROUP BY 1")

@@ -21,12 +21,13 @@ def hourly_stream(spark: SparkSession, folder: str, late: str = "2 hours") -> Da
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
-    """Each left row with the last right ``value`` at or before it: a union and one window, no range join."""
+def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, strict: bool = False) -> DataFrame:
+    """Each left row with the last right ``value`` at or before it (``strict``: before it): a union and one window."""
     from pyspark.sql.window import Window
 
-    own = left.select("*", F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    other = right.select(by, at, F.col(value).alias("_v"), F.lit(0).alias("_side"))
+    own = left.select("*", F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    other = right.select(by, at, F.col(value).alias("_v"), F.lit(1 if strict else 0).alias("_side"))
     both = own.unionByName(other, allowMissingColumns=True)
     w = Window.partitionBy(by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_v")
+    found = F.last("_v", ignorenulls=True).over(w)
+    return both.withColumn(value, found).where(F.col("_side") == (0 if strict else 1)).drop("_side", "_v")
