@@ -203,6 +203,56 @@ def test_decontamination_finds_edits_however_many_hold_them(spark, copies):
     assert sorted(r.doc_id for r in got) == list(range(copies)) and len({r.score for r in got}) == 1
 
 
+def full_alignment(doc, item):
+    ids = {}
+    a, b = (np.array([ids.setdefault(w, len(ids)) for w in words(x)], int) for x in (doc, item))
+    return decontaminate.align(a, b)[0] / (2 * len(b)) if len(a) and len(b) else 0.0
+
+
+def test_decontamination_against_whole_alignments(spark):
+    """Every pair of documents and items of a table, aligned whole: what scores enough and shares a seed is found, no more."""
+    sf = "/root/testdata/sf0.001"
+    d, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    texts, items = ({r[0]: r.text or "" for r in x.select(k, "text").collect()} for x, k in ((d, "doc_id"), (bench, "item_id")))
+    grams = lambda w: {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+    want = {}
+    for i, x in items.items():
+        g = grams(words(x))
+        for k, t in texts.items():
+            if g & grams(words(t)) and (s := full_alignment(t, x)) >= 0.5:
+                want[k, i] = s
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(d, bench).collect()}
+    assert got == pytest.approx(want) and want
+
+
+def test_decontamination_short_and_long_items_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"u{i}" for i in rng.integers(0, 9000, n))
+    long = text(150)
+    bench = spark.createDataFrame([(1, "Yes"), (2, "no way"), (3, long), (4, "a b c d e f"), (4, "p q r s t u"), (4, "p q r s t u")], "item_id long, text string").withColumn("score", F.lit(1))
+    rows = [(10, "yes"), (11, "No  WAY"), (12, "yes no way " + text(20)), (13, text(900) + " " + " ".join(long.split()[40:100]) + " " + text(300)), (14, " ".join(long.split()[:20])), (15, "x a b c d e f y"), (15, "x p q r s t u y"), (16, "w " * 200_000 + "a b c d e f")]
+    got = {(r.doc_id, r.item_id): round(r.score, 2) for r in decontaminate.contaminated(docs(spark, rows, extra=True), bench).collect()}
+    assert got == {(10, 1): 1.0, (11, 2): 1.0, (13, 3): 0.4, (15, 4): 1.0, (16, 4): 1.0}
+
+
+def test_recall_of_edited_copies(spark):
+    """Copies with a share of words replaced at random; what still scores 0.5 when aligned whole must be found."""
+    rng = np.random.default_rng(6)
+    items = [[f"i{k}x{j}" for j in range(40)] for k in range(20)]
+    rows, expected = [], set()
+    for share in (0.0, 0.1, 0.2, 0.3):
+        for k, w in enumerate(items):
+            e = [f"new{j}" if rng.random() < share else x for j, x in enumerate(w)]
+            i = int(share * 1000) * 1000 + k
+            rows.append((i, "before it " + " ".join(e) + " after it"))
+            if full_alignment(rows[-1][1], " ".join(w)) >= 0.5:
+                expected.add((i, k))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert got <= expected and len(got) >= 0.95 * len(expected)
+    assert {(i * 1, k) for i, k in expected if i < 200_000} <= got  # up to a tenth of the words: all
+
+
 def test_most_matches_bounds_alignment():
     rng = np.random.default_rng(7)
     for _ in range(200):
