@@ -158,22 +158,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(np.array([r[2] for r in rows], float), np.array([r[1] for r in rows], int), totals)
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([features(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(b.num_columns - 1)], float)
             got = model.scores(x) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], names=[*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], names=[*b.schema.names[:-1], name])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns (a ``score`` among them is replaced) and the score of each document, without a shuffle."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """``keep`` columns (one called ``name`` is replaced) and the score of each document as ``name``, without a shuffle."""
     bound_batches(docs.sparkSession)
-    d = docs.select(*(k for k in keep if k != "score"), F.col("text").alias("_scored_text"))
+    d = docs.select(*(F.col(f"`{k}`") for k in keep if k != name), F.col("text").alias("_scored_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    return d.mapInArrow(_scorer(model), f"{kinds}, score double")
+    return d.mapInArrow(_scorer(model, name), f"{kinds}, `{name}` double")
 
 
 def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
