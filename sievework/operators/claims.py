@@ -22,28 +22,47 @@ def certified(claim: DataFrame) -> DataFrame:
     return claim.agg(F.bool_and(F.col("verdict") == "favorable").alias("certified"), F.bool_or(F.col("verdict") == "adverse").alias("any_adverse"))
 
 
-def joint_thresholds(df: DataFrame, taus_b: tuple[float, ...] | None, c_misroute: float, c_human: float) -> DataFrame:
-    """The cheapest pair of gates: A answers at ``p_max >= tau_a``, else B (paid for) at ``p_b >= tau_b``, else a human.
+def tau_b_candidates(df: DataFrame) -> DataFrame:
+    """Every distinct ``p_b`` and infinity (the second tier never answers) as ``tau_b``."""
+    never = df.select(F.lit(float("inf")).alias("tau_b")).limit(1)
+    return df.where("p_b is not null").select(F.col("p_b").cast("double").alias("tau_b")).distinct().unionByName(never)
+
 
-    Candidates for tau_b are ``taus_b``, by default every distinct ``p_b`` and infinity (B never answers); for tau_a
-    every distinct ``p_max`` and infinity (A never answers). Rows are aggregated per pair of confidences before they
-    meet the candidates. Ties go to the larger coverage of A, then to the larger coverage of B (the smaller tau_b).
+def joint_grid(df: DataFrame, taus_b: tuple[float, ...] | None, prices: list[tuple[float, float]]) -> DataFrame:
+    """Cost per 1,000 rows of every pair of gates at every pair of prices (c_misroute, c_human).
+
+    A answers at ``p_max >= tau_a``, else B (paid for) at ``p_b >= tau_b``, else a human. Candidates for tau_b are
+    ``taus_b``, by default every distinct ``p_b`` and infinity; for tau_a every distinct ``p_max`` and infinity (A never
+    answers). Rows are counted per pair of confidences before they meet candidates and prices.
     """
-    wrong_b = c_misroute * (1 - F.col("correct_b"))
-    cells = df.groupBy("p_max", "p_b").agg(F.count(F.lit(1)).alias("n"), F.sum(c_misroute * (1 - F.col("correct"))).alias("own"), F.sum("cost_b").alias("paid"), F.sum(wrong_b).alias("wrong_b"))
-    if taus_b is None:
-        one = df.select(F.lit(float("inf")).alias("tau_b")).limit(1)
-        taus = df.where("p_b is not null").select(F.col("p_b").cast("double").alias("tau_b")).distinct().unionByName(one)
-    else:
-        taus = df.sparkSession.createDataFrame([(float(x),) for x in taus_b], "tau_b double")
-    arm = F.col("paid") + F.when(F.col("p_b") >= F.col("tau_b"), F.col("wrong_b")).otherwise(c_human * F.col("n"))
-    per = cells.crossJoin(taus).groupBy("tau_b", "p_max").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.sum(arm).alias("arm"))
+    wrong = {"wrong": F.sum(1 - F.col("correct")), "wrong_b": F.sum(1 - F.col("correct_b"))}
+    cells = df.groupBy("p_max", "p_b").agg(F.count(F.lit(1)).alias("n"), F.sum("cost_b").alias("paid"), *(v.alias(k) for k, v in wrong.items()))
+    taus = tau_b_candidates(df) if taus_b is None else df.sparkSession.createDataFrame([(float(x),) for x in taus_b], "tau_b double")
+    sure = F.col("p_b") >= F.col("tau_b")
+    sums = {"n": F.col("n"), "wrong": F.col("wrong"), "paid": F.col("paid"), "b_wrong": F.when(sure, F.col("wrong_b")).otherwise(0), "human": F.when(sure, 0).otherwise(F.col("n"))}
+    # A row per candidate pair of confidences: candidates are the values of one column, not rows of the table.
+    per = cells.crossJoin(taus).groupBy("tau_b", "p_max").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
     down = Window.partitionBy("tau_b").orderBy(F.col("p_max").desc()).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("tau_b")
-    g = per.select("tau_b", F.col("p_max").alias("tau_a"), F.sum("n").over(down).alias("k"), (F.sum("own").over(down) + F.sum("arm").over(whole) - F.sum("arm").over(down)).alias("cost"), F.sum("n").over(whole).alias("n"))
-    never = per.groupBy("tau_b").agg(F.sum("arm").alias("cost"), F.sum("n").alias("n")).select("tau_b", F.lit(float("inf")).alias("tau_a"), F.lit(0).cast("long").alias("k"), "cost", "n")
-    g = g.unionByName(never)
-    return g.withColumn("cost_per_1k", F.round(F.col("cost") * 1000 / F.col("n"), 6)).orderBy("cost_per_1k", F.col("k").desc(), "tau_b").limit(1)
+    rest = lambda c: F.sum(c).over(whole) - F.sum(c).over(down)
+    g = per.select("tau_b", F.col("p_max").alias("tau_a"), F.sum("n").over(down).alias("k"), F.sum("wrong").over(down).alias("own"), rest("paid").alias("paid"), rest("b_wrong").alias("b_wrong"), rest("human").alias("human"), F.sum("n").over(whole).alias("n"))
+    never = per.groupBy("tau_b").agg(*(F.sum(c).alias(c) for c in ("paid", "b_wrong", "human", "n"))).select("tau_b", F.lit(float("inf")).alias("tau_a"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("own"), "paid", "b_wrong", "human", "n")
+    each = F.array(*(F.struct(F.lit(float(m)).alias("c_misroute"), F.lit(float(h)).alias("c_human")) for m, h in prices))
+    priced = g.unionByName(never).withColumn("_p", F.explode(each)).select("*", "_p.*").drop("_p")
+    cost = F.col("c_misroute") * (F.col("own") + F.col("b_wrong")) + F.col("paid") + F.col("c_human") * F.col("human")
+    return priced.select("c_misroute", "c_human", "tau_b", "tau_a", "k", F.round(cost * 1000 / F.col("n"), 6).alias("cost_per_1k"))
+
+
+def joint_thresholds(df: DataFrame, taus_b: tuple[float, ...] | None, c_misroute: float, c_human: float) -> DataFrame:
+    """The cheapest pair of gates; ties go to the larger coverage of A, then of B (the smaller tau_b)."""
+    return joint_grid(df, taus_b, [(c_misroute, c_human)]).orderBy("cost_per_1k", F.col("k").desc(), "tau_b").limit(1)
+
+
+def joint_sensitivity(df: DataFrame, misroute: tuple[float, ...], human: tuple[float, ...], taus_b: tuple[float, ...] | None = None) -> DataFrame:
+    """The cheapest pair of gates at each pair of prices."""
+    g = joint_grid(df, taus_b, [(m, h) for m in misroute for h in human])
+    best = F.min(F.struct("cost_per_1k", (-F.col("k")).alias("minus_k"), "tau_b", "tau_a")).alias("m")
+    return g.groupBy("c_misroute", "c_human").agg(best).select("c_misroute", "c_human", "m.tau_b", "m.tau_a", (-F.col("m.minus_k")).alias("k"), "m.cost_per_1k")
 
 
 def exemplars(df: DataFrame, key: str, cls: str, text: str, low: int, high: int, seed: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from sievework.functions import text as tx
 from sievework.functions.stats import ratio, wilson
-from sievework.operators import costs, dedup, drift, metrics, ranking, resampling
+from sievework.operators import costs, dedup, drift, metrics, ranking, resampling, routing
 from sievework.operators import splits as sp
 from sievework.session import table
 
@@ -584,6 +584,78 @@ def as_of_events(spark, d):
     return as_of(e.select("event_id", "user_id", "ts"), past, "user_id", "ts", "value", strict=True).select("event_id", "value")
 
 
+# ---- routing over three tiers ----------------------------------------------------------------------------------
+
+TAUS = {"a_to_human": 0.6, "a_to_b": 0.7, "a_to_c": 0.5, "a_to_b_to_c": 0.65, "b": 0.4}
+PRICE_A, PRICE_B = 0.001, 0.02
+
+
+def routed(spark, d):
+    """The six policies over stand-ins for three tiers and the third one's receipts, joined by id behind gates."""
+    p = predictions(spark, d)
+    wrong = lambda other: F.when(F.col("y_true") == "A", other).otherwise("A")
+    b = p.select("id", "y_true", F.when(F.col("m7") != 0, F.col("y_true")).otherwise(wrong("N")).alias("y_pred"), (F.col("m11") / 11.0).alias("p_max"))
+    c = p.select("id", "y_true", F.when(F.col("m11") % 4 != 0, F.col("y_true")).otherwise("R").alias("y_pred"))
+    receipts = p.select("id", (0.01 * (1 + F.col("m7"))).alias("computed_cost_usd"), (F.col("m11") == 3).alias("parse_failed"))
+    rows = routing.with_c(routing.with_b(p.select("id", "y_true", "y_pred", "p_max"), b, "id"), c, receipts, "id")
+    return routing.all_policies(rows, "id", TAUS, PRICE_A, PRICE_B)
+
+
+_own = {k: f"p_max >= {v}::DOUBLE" for k, v in TAUS.items()}
+_ROUTED = f"""{_P}, q3 AS (SELECT *, CASE WHEN m7 <> 0 THEN y_true WHEN y_true = 'A' THEN 'N' ELSE 'A' END AS pb, m11 / 11.0::DOUBLE AS p_b, CASE WHEN m11 % 4 <> 0 THEN y_true ELSE 'R' END AS pc, 0.01::DOUBLE * (1 + m7) AS api_c, m11 = 3 AS failed FROM q),
+r6 AS (SELECT 'a' AS policy, id, y_true, y_pred AS pred, {PRICE_A}::DOUBLE AS api, false AS human FROM q3
+  UNION ALL SELECT 'all_human', id, y_true, NULL, 0, true FROM q3
+  UNION ALL SELECT 'a_to_human', id, y_true, y_pred, {PRICE_A}, NOT {_own['a_to_human']} FROM q3
+  UNION ALL SELECT 'a_to_b', id, y_true, CASE WHEN {_own['a_to_b']} THEN y_pred ELSE pb END, {PRICE_A} + CASE WHEN {_own['a_to_b']} THEN 0 ELSE {PRICE_B} END, false FROM q3
+  UNION ALL SELECT 'a_to_c', id, y_true, CASE WHEN {_own['a_to_c']} THEN y_pred ELSE pc END, {PRICE_A} + CASE WHEN {_own['a_to_c']} THEN 0 ELSE api_c END, NOT {_own['a_to_c']} AND failed FROM q3
+  UNION ALL SELECT 'a_to_b_to_c', id, y_true, CASE WHEN {_own['a_to_b_to_c']} THEN y_pred WHEN p_b >= {TAUS['b']} THEN pb ELSE pc END,
+    {PRICE_A} + CASE WHEN {_own['a_to_b_to_c']} THEN 0 ELSE {PRICE_B} + CASE WHEN p_b >= {TAUS['b']} THEN 0 ELSE api_c END END, NOT {_own['a_to_b_to_c']} AND p_b < {TAUS['b']} AND failed FROM q3),
+z6 AS (SELECT policy, id, y_true, CASE WHEN NOT human THEN pred END AS pred, api, human, coalesce((NOT human AND pred = y_true)::INT, 0) AS correct FROM r6)"""
+_F1 = "(SELECT policy, avg(coalesce(2.0 * h / nullif(s + p, 0), 0)) AS f FROM (SELECT policy, label, count(*) FILTER (y_true = label) AS s, count(*) FILTER (pred = label) AS p, count(*) FILTER (y_true = label AND pred = label) AS h FROM {rows}, (VALUES ('A'), ('N'), ('R')) l(label) GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query("routing_policies", f"""WITH {_ROUTED}, e AS (SELECT policy, count(*) AS n, avg(CASE WHEN NOT human AND correct = 0 THEN {C_MISROUTE} ELSE 0 END) AS misroute, avg(api) AS api, avg(CASE WHEN human THEN {C_HUMAN} ELSE 0 END) AS human, avg(human::INT) AS human_share,
+  avg(correct) FILTER (NOT human) AS answered_accuracy, avg(CASE WHEN human THEN 1 ELSE correct END) AS system_accuracy FROM z6 GROUP BY 1)
+SELECT e.policy, n, round(misroute, 6) AS misroute, round(api, 6) AS api, round(human, 6) AS human, round(human_share, 6) AS human_share, round(answered_accuracy, 6) AS answered_accuracy, round(system_accuracy, 6) AS system_accuracy,
+  round(x.f, 6) AS answered_macro_f1, round(y.f, 6) AS system_macro_f1 FROM e LEFT JOIN {_F1.format(rows="(SELECT * FROM z6 WHERE NOT human)")} x ON x.policy = e.policy
+  JOIN {_F1.format(rows="(SELECT policy, y_true, CASE WHEN human THEN y_true ELSE pred END AS pred FROM z6)")} y ON y.policy = e.policy""")
+def routing_policies(spark, d):
+    e = routing.evaluation(routed(spark, d), LABELS, C_MISROUTE, C_HUMAN)
+    return e.select("policy", "n", *(r6(c, c) for c in ("misroute", "api", "human", "human_share", "answered_accuracy", "system_accuracy", "answered_macro_f1", "system_macro_f1")))
+
+
+_PAIR = f"""{_ROUTED}, k6 AS (SELECT *, CASE WHEN NOT human AND correct = 0 THEN {C_MISROUTE} ELSE 0 END + api + CASE WHEN human THEN {C_HUMAN} ELSE 0 END AS cost, CASE WHEN human THEN 1 ELSE correct END AS ok FROM z6),
+pr AS (SELECT x.id, x.cost AS cx, y.cost AS cy, x.ok AS ox, y.ok AS oy, NOT x.human AND NOT y.human AS machine FROM k6 x JOIN k6 y ON x.id = y.id WHERE x.policy = 'a' AND y.policy = 'a_to_b_to_c')"""
+
+
+@query("routing_paired", f"WITH {_PAIR} SELECT count(*) AS n, round(avg(cy - cx) * 1000, 4) AS delta_per_1k, round(1 - sum(cy) / sum(cx), 6) AS reduction, round(avg(oy - ox), 6) AS accuracy, count(*) FILTER (machine AND ox = 1 AND oy = 0) AS b, count(*) FILTER (machine AND ox = 0 AND oy = 1) AS c FROM pr")
+def routing_paired(spark, d):
+    x, y, m = F.col("x"), F.col("y"), F.col("x.machine") & F.col("y.machine")
+    got = routing.paired(routed(spark, d), "a", "a_to_b_to_c", C_MISROUTE, C_HUMAN)
+    return got.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(y.cost - x.cost) * 1000, 4).alias("delta_per_1k"), r6(1 - F.sum(y.cost) / F.sum(x.cost), "reduction"), r6(F.avg(y.right - x.right), "accuracy"),
+        F.count_if(m & (x.right == 1) & (y.right == 0)).alias("b"), F.count_if(m & (x.right == 0) & (y.right == 1)).alias("c"),
+    )
+
+
+@query("routing_cost_claim")
+def routing_cost_claim(spark, d):
+    got = routing.cost_claim(routing.paired(routed(spark, d), "a", "a_to_b_to_c", C_MISROUTE, C_HUMAN), REPS, "k")
+    return got.select("metric", r6("lo", "lo"), r6("hi", "hi"), "verdict")
+
+
+_JS = _JOINT.replace(f"{C_MISROUTE} * (1 - correct)", "m * (1 - correct)").replace(f"{C_MISROUTE} * (1 - correct_b) ELSE {C_HUMAN}", "m * (1 - correct_b) ELSE h").replace("FROM x, tb GROUP BY 1, 2", "FROM x, tb, pr GROUP BY 1, 2, m, h").replace("a AS (SELECT tau_b,", f"pr AS (SELECT m, h FROM (VALUES {_PR}) u(m), (VALUES {_PR}) v(h)), a AS (SELECT m, h, tau_b,").replace("GROUP BY 1, 2, m, h", "GROUP BY ALL").replace("g AS (SELECT tau_b,", "g AS (SELECT m, h, tau_b,").replace("PARTITION BY tau_b", "PARTITION BY m, h, tau_b").replace("UNION ALL SELECT tau_b, 'infinity'::DOUBLE, 0, sum(arm), sum(n) FROM a GROUP BY 1", "UNION ALL SELECT m, h, tau_b, 'infinity'::DOUBLE, 0, sum(arm), sum(n) FROM a GROUP BY ALL")
+
+
+@query("joint_sensitivity", f"WITH {_JS} SELECT m AS c_misroute, h AS c_human, tau_b, round(tau_a, 6) AS tau_a, k::BIGINT AS k, round(cost * 1000 / n, 4) AS cost_per_1k FROM g QUALIFY row_number() OVER (PARTITION BY m, h ORDER BY round(cost * 1000 / n, 6), k DESC, tau_b) = 1")
+def joint_sensitivity(spark, d):
+    from sievework.operators import claims
+
+    p = predictions(spark, d).withColumns({"p_b": F.col("m11") / 11.0, "correct_b": (F.col("m7") != 0).cast("int"), "cost_b": F.lit(0.05)})
+    got = claims.joint_sensitivity(p, PRICES, PRICES)
+    return got.select("c_misroute", "c_human", "tau_b", r6("tau_a", "tau_a"), "k", F.round("cost_per_1k", 4).alias("cost_per_1k"))
+
+
 @query("dominance", f"WITH {_POL}, c AS (SELECT policy, avg(CASE WHEN NOT to_human AND correct = 0 THEN {C_MISROUTE} ELSE 0 END + api + CASE WHEN to_human THEN {C_HUMAN} ELSE 0 END) AS cost FROM z GROUP BY 1) SELECT a.policy, count(b.policy) AS n_beaten FROM c a LEFT JOIN c b ON a.cost < b.cost - 1e-9 GROUP BY 1")
 def dominance(spark, d):
     e = costs.evaluate(policies(spark, d), C_MISROUTE, C_HUMAN).select("policy", (F.col("misroute") + F.col("api") + F.col("human")).alias("cost"))
