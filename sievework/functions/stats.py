@@ -78,12 +78,16 @@ def chi2_divergence(p: list[float], q: list[float]) -> float:
     return out
 
 
-def kish_weights(target: list[float], data: list[float], n: int) -> dict[str, float]:
-    """Class weights target/data: their spread and the effective sample size."""
-    w = [t / d if d else 0.0 for t, d in zip(target, data, strict=True)]
-    used = [(x, d) for x, d in zip(w, data, strict=True) if d]
-    s1, s2 = sum(x * d for x, d in used), sum(x * x * d for x, d in used)
-    return {"max": max(x for x, _ in used), "min": min(x for x, _ in used), "n_eff": n * s1 * s1 / s2 if s2 else 0.0}
+def kish_weights(target: list[float], data: list[float], n: int) -> dict[str, float | None]:
+    """Class weights target/data: their spread and the effective sample size.
+
+    A class that the target has and the data lack would weigh infinitely: no largest weight, no effective row.
+    """
+    seen = [(t, d) for t, d in zip(target, data, strict=True) if d > 0]
+    lost = any(t > 0 and d <= 0 for t, d in zip(target, data, strict=True))
+    spread = sum(t * t / d for t, d in seen)
+    w = [t / d for t, d in seen]
+    return {"max": None if lost or not w else max(w), "min": min(w) if w else None, "n_eff": 0.0 if lost or not spread else n / spread}
 
 
 def hamilton(counts: dict, target: int) -> dict:

@@ -12,9 +12,10 @@ from pyspark.sql.window import Window
 
 from sievework.functions import text as tx
 from sievework.functions.stats import ratio, wilson
-from sievework.operators import costs, dedup, drift, metrics, ranking, resampling, routing
+from sievework.operators import costs, dedup, drift, metrics, ranking, resampling, routing, verify
 from sievework.operators import splits as sp
 from sievework.session import table
+from sievework.sources import frames
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,6 +33,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def z6(c, name: str):
+    """Rounded, without a negative zero."""
+    return F.when(F.abs(c) < 5e-7, 0.0).otherwise(F.round(c, 6)).alias(name)
+
+
 def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
@@ -281,7 +287,10 @@ def brier(spark, d):
     return metrics.brier(predictions(spark, d), LABELS).select(r6("brier", "brier"))
 
 
-@query("check_probs", f"WITH {_P} SELECT count(*) AS n, 0::BIGINT AS bad_max, 0::BIGINT AS bad_argmax FROM q")
+_PROBS = "pq AS (SELECT *, list_transform(['A', 'N', 'R'], lambda x: CASE WHEN x = y_pred THEN p_max ELSE (1 - p_max) / 2 END) AS probs FROM q)"
+
+
+@query("check_probs", f"WITH {_P}, {_PROBS} SELECT count(*) AS n, count(*) FILTER (p_max <> list_max(probs)) AS bad_max, count(*) FILTER (['A', 'N', 'R'][list_position(probs, list_max(probs))] <> y_pred) AS bad_argmax FROM pq")
 def check_probs(spark, d):
     p = predictions(spark, d)
     return p.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_max") != F.array_max("probs")).alias("bad_max"), F.count_if(metrics.top(F.col("probs"), LABELS) != F.col("y_pred")).alias("bad_argmax"))
@@ -469,11 +478,14 @@ def tfidf_centroid(spark, d):
 _CELL = """SELECT s.year AS year, sum(coalesce(2 * tp / nullif(pi + rho, 0), 0)) / 3 AS v FROM (SELECT year, y_pred AS label, sum({p} * {c}) AS rho, sum(CASE WHEN y_true = y_pred THEN {p} * {c} ELSE 0 END) AS tp, sum(CASE WHEN y_true = y_pred THEN {p} ELSE 0 END) AS pi FROM g GROUP BY 1, 2) s GROUP BY 1"""
 
 
-@query("prior_shift_components", f"""WITH {_P}, n AS (SELECT year::VARCHAR AS year, y_true, y_pred, count(*) AS n FROM q GROUP BY ALL), s AS (SELECT year, y_true, sum(n) AS s FROM n GROUP BY ALL), t AS (SELECT year, sum(s) AS t FROM s GROUP BY 1),
+_SHIFT = f"""{_P}, n AS (SELECT year::VARCHAR AS year, y_true, y_pred, count(*) AS n FROM q GROUP BY ALL), s AS (SELECT year, y_true, sum(n) AS s FROM n GROUP BY ALL), t AS (SELECT year, sum(s) AS t FROM s GROUP BY 1),
 k AS (SELECT y.year, a.y_true, b.y_pred FROM (SELECT DISTINCT year FROM n) y, (VALUES ('A'), ('N'), ('R')) a(y_true), (VALUES ('A'), ('N'), ('R')) b(y_pred)),
 g AS (SELECT k.*, coalesce(s1.s / t1.t, 0) AS p1, coalesce(s0.s / t0.t, 0) AS p0, coalesce(n1.n / s1.s, 0) AS c1, coalesce(n0.n / s0.s, 0) AS c0 FROM k JOIN t t1 ON t1.year = k.year JOIN t t0 ON t0.year = '1995'
   LEFT JOIN s s1 ON s1.year = k.year AND s1.y_true = k.y_true LEFT JOIN s s0 ON s0.year = '1995' AND s0.y_true = k.y_true
-  LEFT JOIN n n1 ON n1.year = k.year AND n1.y_true = k.y_true AND n1.y_pred = k.y_pred LEFT JOIN n n0 ON n0.year = '1995' AND n0.y_true = k.y_true AND n0.y_pred = k.y_pred),
+  LEFT JOIN n n1 ON n1.year = k.year AND n1.y_true = k.y_true AND n1.y_pred = k.y_pred LEFT JOIN n n0 ON n0.year = '1995' AND n0.y_true = k.y_true AND n0.y_pred = k.y_pred)"""
+
+
+@query("prior_shift_components", f"""WITH {_SHIFT},
 a AS ({_CELL.format(p='p0', c='c0')}), b AS ({_CELL.format(p='p1', c='c0')}), c AS ({_CELL.format(p='p0', c='c1')}), d AS ({_CELL.format(p='p1', c='c1')})
 SELECT a.year, round(d.v - a.v, 6) AS total, round(((b.v - a.v) + (d.v - c.v)) / 2, 6) AS prior_shapley, round(((d.v - b.v) + (c.v - a.v)) / 2, 6) AS within_shapley FROM a JOIN b USING (year) JOIN c USING (year) JOIN d USING (year)""")
 def prior_shift_components(spark, d):
@@ -482,6 +494,117 @@ def prior_shift_components(spark, d):
     return drift.components_of(cells).select("year", r6("total", "total"), r6("prior_shapley", "prior_shapley"), r6("within_shapley", "within_shapley"))
 
 
+def _z6(x: str) -> str:
+    return f"CASE WHEN abs({x}) < 5e-7 THEN 0 ELSE round({x}, 6) END"
+
+
+def _rates(spark, d):
+    return drift.rates(predictions(spark, d).withColumn("year", F.col("year").cast("string")), "year")
+
+
+@query("prior_shift_accuracy", f"WITH {_SHIFT} SELECT year, y_true AS label, {_z6('(p0 - p1) * c0')} AS prior, {_z6('p0 * (c0 - c1)')} AS within, {_z6('(p1 - p0) * (c0 - c1)')} AS interaction FROM g WHERE y_true = y_pred")
+def prior_shift_accuracy(spark, d):
+    return drift.accuracy_parts(_rates(spark, d), "year", "1995", LABELS).select("year", "label", *(z6(F.col(c), c) for c in ("prior", "within", "interaction")))
+
+
+@query("prior_shift_balanced", f"WITH {_SHIFT} SELECT year, round(avg(c1) FILTER (p1 > 0), 6) AS own, round(avg(c0) FILTER (p0 > 0), 6) AS reference FROM g WHERE y_true = y_pred GROUP BY 1")
+def prior_shift_balanced(spark, d):
+    return drift.balanced_accuracy_cells(_rates(spark, d), "year", "1995", LABELS).select("year", r6("own", "own"), r6("reference", "reference"))
+
+
+_LF1 = "SELECT year, y_pred AS label, coalesce(2 * sum(CASE WHEN y_true = y_pred THEN {p} * {c} ELSE 0 END) / nullif(sum(CASE WHEN y_true = y_pred THEN {p} ELSE 0 END) + sum({p} * {c}), 0), 0) AS v FROM g GROUP BY 1, 2"
+
+
+@query("prior_shift_classes", f"""WITH {_SHIFT}, a AS ({_LF1.format(p='p0', c='c0')}), b AS ({_LF1.format(p='p1', c='c0')}), c AS ({_LF1.format(p='p0', c='c1')}), d AS ({_LF1.format(p='p1', c='c1')})
+SELECT year, label, {_z6('(d.v - a.v) / 3')} AS total, {_z6('((b.v - a.v) + (d.v - c.v)) / 6')} AS prior_shapley, {_z6('((d.v - b.v) + (c.v - a.v)) / 6')} AS within_shapley FROM a JOIN b USING (year, label) JOIN c USING (year, label) JOIN d USING (year, label)""")
+def prior_shift_classes(spark, d):
+    got = drift.class_attribution(_rates(spark, d), "year", "1995", LABELS)
+    return got.select("year", "label", *(z6(F.col(c), c) for c in ("total", "prior_shapley", "within_shapley")))
+
+
+@query("prior_shift_one_class", f"""WITH {_SHIFT}, m AS (SELECT year, y_true AS moved, p0 AS m0, p1 AS m1 FROM g WHERE y_true = y_pred),
+s1 AS (SELECT g.year, moved, y_true, y_pred, c0, CASE WHEN y_true = moved THEN m1 ELSE coalesce(p0 * (1 - m1) / nullif(1 - m0, 0), 0) END AS p FROM g JOIN m ON m.year = g.year),
+f AS (SELECT year, moved, y_pred, coalesce(2 * sum(CASE WHEN y_true = y_pred THEN p * c0 ELSE 0 END) / nullif(sum(CASE WHEN y_true = y_pred THEN p ELSE 0 END) + sum(p * c0), 0), 0) AS v FROM s1 GROUP BY 1, 2, 3)
+SELECT year, moved, round(sum(v) / 3, 6) AS macro_f1 FROM f GROUP BY 1, 2""")
+def prior_shift_one_class(spark, d):
+    return drift.one_at_a_time(_rates(spark, d), "year", "1995", LABELS).select("year", "moved", r6("macro_f1", "macro_f1"))
+
+
+@query("prior_shift_bands")
+def prior_shift_bands(spark, d):
+    p = predictions(spark, d).withColumn("year", F.col("year").cast("string"))
+    got = drift.replicate_components(p, "id", "year", "1995", "1997", LABELS, REPS, "y").where("valid")
+    return resampling.bands(got, "total", "prior_shapley", "within_shapley").select("metric", r6("lo", "lo"), r6("hi", "hi"))
+
+
+_CW = "list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> ''), lambda x: ' ' || x || ' ')"
+_CG = "flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, greatest(length(w) - n + 2, 1)), lambda i: substr(w, i, n))))"
+_TFB = """t{b} AS ({src}), pd{b} AS (SELECT doc_id, tok, count(*) AS tf FROM t{b} GROUP BY 1, 2), f{b} AS (SELECT tok, count(*) AS df FROM pd{b} GROUP BY 1 HAVING count(*) >= 5 ORDER BY sum(tf) DESC, tok LIMIT 150000),
+w{b} AS (SELECT doc_id, '{b}' AS block, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM pd{b} JOIN f{b} USING (tok))"""
+
+
+@query("tfidf_blocks", f"""WITH {_TFB.format(b='w', src=f"SELECT doc_id, unnest(list_concat(t, {_BG})) AS tok FROM (SELECT doc_id, {_WT} AS t FROM documents)")},
+{_TFB.format(b='c', src=f"SELECT doc_id, unnest({_CG}) AS tok FROM (SELECT doc_id, unnest({_CW}) AS w FROM documents)")}, e AS (SELECT * FROM ww UNION ALL SELECT * FROM wc)
+SELECT doc_id, block, count(*) AS n_terms, round(sum(w) / sqrt(sum(w * w)), 5) AS total FROM e GROUP BY 1, 2""")
+def tfidf_blocks(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("t"), "text")
+    blocks = {"w": F.concat(F.col("t"), tx.ngrams(F.col("t"), 2)), "c": tx.char_wb_ngrams(F.col("text"))}
+    rows = drift.tfidf_blocks(docs, "doc_id", blocks, docs)
+    return rows.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("w"), 5).alias("total"))
+
+
+# ---- metric maps, split frames ---------------------------------------------------------------------------------
+
+@query("point_metrics", f"""WITH {_K}, {_CURVE}, b AS (SELECT least(floor(p_max * 15), 14) AS bin, count(*) AS n, avg(p_max) AS c, avg(correct) AS a FROM q GROUP BY 1),
+m AS (SELECT 'accuracy' AS metric, sum(tp) / sum(support) AS value FROM k UNION ALL SELECT 'macro_f1', avg(coalesce(2 * tp / nullif(support + predicted, 0), 0)) FROM k UNION ALL SELECT 'balanced_accuracy', avg(tp / nullif(support, 0)) FROM k
+  UNION ALL SELECT 'ece', sum(n * abs(a - c)) / sum(n) FROM b
+  UNION ALL SELECT 'brier', avg(CASE WHEN correct = 1 THEN (1 - p_max) ** 2 + 2 * ((1 - p_max) / 2) ** 2 ELSE p_max ** 2 + ((1 - p_max) / 2) ** 2 + ((1 - (1 - p_max) / 2)) ** 2 END) FROM q
+  UNION ALL SELECT 'aurc', avg(errors / rank) FROM c UNION ALL SELECT 'f1::' || label, coalesce(2 * tp / nullif(support + predicted, 0), 0) FROM k
+  UNION ALL SELECT 'acc_at_cov::' || x.s, (SELECT avg(correct) FROM c WHERE rank <= greatest(1, ceil(x.v * (SELECT count(*) FROM q)))) FROM (VALUES ('0.5', 0.5::DOUBLE), ('0.8', 0.8::DOUBLE), ('0.9', 0.9::DOUBLE)) x(s, v))
+SELECT metric, round(value, 6) AS value FROM m""")
+def point_metrics(spark, d):
+    return verify.point_metrics(predictions(spark, d), LABELS, "id").select("metric", r6("value", "value"))
+
+
+@query("artifact_checks", f"""WITH {_P}, {_PROBS}, s AS (SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS id, CASE WHEN l_tax > 0.07 THEN 'R' ELSE l_returnflag END AS label FROM lineitem WHERE l_linenumber < 7),
+j AS (SELECT pq.id, y_true, s.id AS k, label FROM pq LEFT JOIN s ON s.id = pq.id)
+SELECT 'ids are in the split' AS "check", count(*) FILTER (k IS NULL) AS n_bad, min(id) FILTER (k IS NULL) AS first FROM j
+UNION ALL SELECT 'truths are the split''s', count(*) FILTER (k IS NOT NULL AND label <> y_true), min(id) FILTER (k IS NOT NULL AND label <> y_true) FROM j
+UNION ALL SELECT 'ids are unique', count(*) FILTER (n > 1), min(id) FILTER (n > 1) FROM (SELECT id, count(*) AS n FROM pq GROUP BY 1)
+UNION ALL SELECT 'one probability a label', count(*) FILTER (len(probs) <> 3), min(id) FILTER (len(probs) <> 3) FROM pq
+UNION ALL SELECT 'probabilities from 0 to 1', count(*) FILTER (list_min(probs) < 0 OR list_max(probs) > 1), NULL FROM pq
+UNION ALL SELECT 'probabilities sum to 1', count(*) FILTER (abs(list_sum(probs) - 1) > 1e-6), NULL FROM pq
+UNION ALL SELECT 'p_max is the largest', count(*) FILTER (p_max <> list_max(probs)), min(id) FILTER (p_max <> list_max(probs)) FROM pq
+UNION ALL SELECT 'y_pred has the largest', count(*) FILTER (probs[list_position(['A', 'N', 'R'], y_pred)] <> list_max(probs)), NULL FROM pq
+UNION ALL SELECT 'labels are declared', count(*) FILTER (y_true NOT IN ('A', 'N', 'R') OR y_pred NOT IN ('A', 'N', 'R')), NULL FROM pq""")
+def artifact_checks(spark, d):
+    p = predictions(spark, d)
+    k = (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("id")
+    split = table(spark, d, "lineitem").where("l_linenumber < 7").select(k, F.when(F.col("l_tax") > 0.07, "R").otherwise(F.col("l_returnflag")).alias("label"))
+    return verify.against_split(p, split, "id", "label").unionByName(verify.prob_checks(p, LABELS, "id"))
+
+
+@query("curated_sample")
+def curated_sample(spark, d):
+    return frames.curated(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", 40, "c")
+
+
+@query("subsample", "SELECT doc_id, lang FROM documents ORDER BY md5('sub:' || doc_id), doc_id LIMIT 100")
+def subsample(spark, d):
+    return frames.subsample(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 100, "sub")
+
+
+@query("dedup_map", f"WITH {_CLUSTER} SELECT doc_id AS removed_id, cluster_id AS kept_id FROM cl WHERE doc_id <> cluster_id")
+def dedup_map(spark, d):
+    return frames.dedup_map(dedup_clusters(spark, d), "doc_id")
+
+
+@query("truncation_rate", f"SELECT count(*) AS n, round(avg((len({_WT}) > 512)::INT), 6) AS rate FROM documents")
+def truncation_rate(spark, d):
+    t = table(spark, d, "documents").select(F.size(tx.word_tokens(F.col("text"))).alias("n_tokens"))
+    return frames.truncation_rate(t, "n_tokens", 512).select("n", r6("rate", "rate"))
+
+
 # ---- receipts, events, streaming shapes ------------------------------------------------------------------------
 
 @query("receipts_rollup", "SELECT coalesce(event_type, 'all') AS event_type, count(*) AS n, round(sum(value), 2) AS total, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, count(DISTINCT user_id) AS users FROM events GROUP BY ROLLUP (event_type)")
