@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
@@ -9,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import word_tokens
@@ -72,10 +73,21 @@ def isotonic(calibration: DataFrame, frame: DataFrame, labels: list[str]) -> Dat
     return frame.withColumn("probs", F.when(total > 0, F.transform(raw, lambda v: v / total)).otherwise(F.array(*[F.lit(1 / len(labels))] * len(labels))))
 
 
-def _interp(x, xs: list[float], ys: list[float]):
-    """Piecewise linear, flat outside."""
-    out = F.when(x <= xs[0], ys[0])
-    for (a, b), (p, q) in zip(zip(xs, xs[1:], strict=False), zip(ys, ys[1:], strict=False), strict=True):
-        if b > a:
-            out = out.when(x <= b, p + (x - a) * ((q - p) / (b - a)))
-    return out.otherwise(ys[-1])
+def _interp(x: Column, xs: list[float], ys: list[float]) -> Column:
+    """Piecewise linear between points, flat outside; a binary search over literal arrays."""
+    at, value, last = F.lit([float(v) for v in xs]), F.lit([float(v) for v in ys]), len(xs) - 1
+    place = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s.lo + s.hi + 1, 1)
+        return F.when(F.get(at, mid) <= x, place(mid, s.hi)).otherwise(place(s.lo, F.greatest(mid - 1, s.lo)))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(len(xs))) + 1)))
+    i = F.aggregate(steps, place(F.lit(0), F.lit(last)), halve, lambda s: s.lo)
+
+    def between(i: Column) -> Column:
+        a, b, p, q = F.get(at, i), F.get(at, i + 1), F.get(value, i), F.get(value, i + 1)
+        return p + (x - a) * (q - p) / (b - a)
+
+    inside = F.get(F.transform(F.array(i), between), F.lit(0))
+    return F.when(x < xs[0], float(ys[0])).when(x >= xs[-1], float(ys[-1])).otherwise(inside)

@@ -1,5 +1,6 @@
 """Runners, calibration, claims and joint thresholds."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,17 @@ def test_linear_runner(spark, family):
     assert [r.p for r in flat] == [1.0]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 4000])
+def test_interpolation_by_numpy(spark, n):
+    rng = np.random.default_rng(n)
+    xs = np.sort(np.concatenate((rng.random(n), rng.random(n)[: n // 3].round(2), rng.random(n)[: n // 3].round(2))))
+    ys = np.sort(rng.random(len(xs)))
+    points = [(float(v),) for v in (-1.0, 0.0, xs[0], xs[-1], 2.0, *rng.random(40))]
+    got = spark.createDataFrame(points, "x double").select("x", models._interp(F.col("x"), xs.tolist(), ys.tolist()).alias("y")).collect()
+    for r in got:
+        assert r.y == pytest.approx(float(np.interp(r.x, xs, ys)), abs=1e-12)
+
+
 def test_registry():
     with pytest.raises(ValueError):
         models.register_runner("tfidf_linear")(lambda: None)
