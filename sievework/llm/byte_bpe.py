@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from sievework.session import bound_batches, table
 
 #: Distinct words that a task knows at a time.
-WORDS = 1 << 18
+WORDS = 3 << 16
 LONG_BYTES = 256
 #: Steps of the fold that are written out.
 WRITTEN_OUT = 8
@@ -50,7 +50,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 _NONE = 1 << 17  # above every rank
 _FREE = 1 << 34  # above every entry that merges
-_SPAN, _ROW = 1 << 20, 1 << 16
+_SPAN, _ROW = 1 << 19, 1 << 16
 _EDGE = _NONE - 1  # no token has this id
 _REST = 1 << 30
 
@@ -151,7 +151,7 @@ class Codec:
 
     def encode(self, docs: DataFrame, words: int | None = None) -> DataFrame:
         """``doc_id, ids, decoded`` per row of ``docs``: ids as little-endian 32-bit integers, and the bytes they give."""
-        bound_batches(self.spark)
+        bound_batches(self.spark, 1 << 20)
         of = docs.schema["doc_id"].dataType.simpleString()
         cut = _fewer_tasks(docs.select("doc_id", "text")).mapInArrow(_cutter(self.pattern, words or WORDS), f"doc_id {of}, word string, refs binary")
         short = F.octet_length("word").between(1, LONG_BYTES)
