@@ -132,6 +132,32 @@ def clusters(docs: DataFrame, key: str, text: str, day: str) -> DataFrame:
     return rows.join(rep, "label").select(key, "cluster_id", (F.col(key) == F.col("cluster_id")).alias("kept"))
 
 
+def split_leaks(docs: DataFrame, key: str, text: str, first: Column, num: int = 90, den: int = 100) -> DataFrame:
+    """Texts of the two sides of a split (``first``: on the one side) that share ``num/den`` of their shingles' union.
+
+    ``first_id, second_id, shared, n_union, n_first, n_second``: a row per pair of different shingle sets, one of each
+    side, by their smallest keys and how many texts have them; copies are not paired one by one. Exact: sets that are
+    so alike have one of their rarest shingles in common (a prefix in the order of frequency), and only sets that meet
+    there, of sizes that allow it, are compared. Texts without tokens are left out.
+    """
+    sets = docs.select(key, first.alias("side"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0).select(key, "side", shingles(F.col("t")).alias("s"))
+    hashed = sets.select(key, "side", F.array_sort(F.transform("s", lambda g: F.xxhash64(g))).alias("s"))
+    one = stored(hashed.groupBy("side", "s").agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("n_texts")), "sets")
+    each = one.select("side", "id", F.explode("s").alias("g"))
+    df = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(df, "g").groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    n = F.size("o")
+    least = F.ceil(n * num / den)
+    heads = stored(ordered.select("side", "id", n.alias("n"), F.explode(F.slice("o", F.lit(1), (n - least + 1).cast("int"))).alias("x")).select("side", "id", "n", "x.g"), "prefixes")
+    left, right = (heads.where("side" if x else "not side").select(F.col("id").alias(f"id{x}"), F.col("n").alias(f"n{x}"), "g") for x in (1, 0))
+    sized = (den * F.least("n1", "n0") >= num * F.greatest("n1", "n0"))
+    pairs = left.join(right, "g").where(sized).select("id1", "id0").distinct()
+    of = lambda x: one.where("side" if x else "not side").select(F.col("id").alias(f"id{x}"), F.col("s").alias(f"s{x}"), F.col("n_texts").alias(f"k{x}"))
+    both = pairs.join(of(1), "id1").join(of(0), "id0").withColumn("shared", F.size(F.array_intersect("s1", "s0")))
+    got = both.withColumn("n_union", F.size("s1") + F.size("s0") - F.col("shared")).where(den * F.col("shared") >= num * F.col("n_union"))
+    return got.select(F.col("id1").alias("first_id"), F.col("id0").alias("second_id"), F.col("shared").cast("long").alias("shared"), F.col("n_union").cast("long").alias("n_union"), F.col("k1").alias("n_first"), F.col("k0").alias("n_second"))
+
+
 def first_per_group(df: DataFrame, group: str, *order: Column) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("_r = 1").drop("_r")
 

@@ -246,6 +246,14 @@ def leakage_check(spark, d):
     return dedup.shared_shingles(spark, d).where(F.col("shared") >= 0.5 * F.col("n_item")).select("doc_id", "item_id")
 
 
+@query("split_leakage", f"""WITH {_SH}, c AS (SELECT side, min(doc_id) AS id, count(*) AS n, any_value(gs) AS gs FROM (SELECT doc_id, doc_id % 2 = 0 AS side, list_sort(list(g)) AS gs FROM s WHERE g <> chr(0) || 'EMPTY' || chr(0) GROUP BY 1) GROUP BY side, gs),
+x AS (SELECT id, n, len(gs) AS size, unnest(gs) AS g FROM c WHERE side), y AS (SELECT id, n, len(gs) AS size, unnest(gs) AS g FROM c WHERE NOT side),
+p AS (SELECT x.id AS first_id, y.id AS second_id, count(*) AS shared, any_value(x.size) + any_value(y.size) - count(*) AS n_union, any_value(x.n) AS n_first, any_value(y.n) AS n_second FROM x JOIN y ON x.g = y.g GROUP BY 1, 2)
+SELECT * FROM p WHERE 100 * shared >= 90 * n_union""")
+def split_leakage(spark, d):
+    return dedup.split_leaks(table(spark, d, "documents"), "doc_id", "text", F.col("doc_id") % 2 == 0)
+
+
 # ---- metrics ---------------------------------------------------------------------------------------------------
 
 @query("confusion", f"WITH {_P} SELECT y_true, y_pred, count(*) AS n FROM q GROUP BY 1, 2")

@@ -120,6 +120,17 @@ def test_unrelated_texts_stay_apart(spark):
     assert b.count() == 32 * 8 and {len(r.key) for r in b.collect()} == {64}
 
 
+def test_leaks_between_splits(spark):
+    w = lambda i, n: [f"w{i}x{k}" for k in range(n)]
+    long, half = w("a", 200), w("b", 40)
+    near = [*long[:100], "other", *long[101:]]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (4, " ".join(near)), (3, " ".join(half)), (6, " ".join(half[:20] + w("c", 20))), (5, "two words"), (8, "Two words!"), (7, ""), (10, None), (12, " ".join(long))]
+    d = frame(spark, rows, "id long, t string")
+    got = {(r.first_id, r.second_id): (r.shared, r.n_union, r.n_first, r.n_second) for r in dedup.split_leaks(d, "id", "t", F.col("id") % 2 == 1).collect()}
+    assert got == {(1, 12): (196, 196, 1, 1), (1, 2): (191, 201, 1, 2), (5, 8): (1, 1, 1, 1)}
+    assert dedup.split_leaks(d.limit(0), "id", "t", F.col("id") % 2 == 1).count() == 0
+
+
 def test_overlaps(spark):
     d = frame(spark, [(1, "2020-01-31"), (2, "2020-02-01"), (3, "2019-01-01")], "id long, d string")
     got = splits.assigned(d, "d", (("a", "2020-01-01", "2020-02-01"), ("b", "2020-02-01", None)))
