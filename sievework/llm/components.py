@@ -1,28 +1,16 @@
-"""Connected components of a link table, by label propagation with pointer jumping (no driver-side state)."""
+"""Connected components of a link table (no driver-side state)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.session import stored
+from sievework.operators.dedup import connected
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, label`` for every node of ``links``: label is the smallest node that can be reached.
 
-    Every round takes the smallest label among a node's neighbours (aggregated before the shuffle) and then
-    the label of that label, so a chain shrinks by more than half; rounds are written to the shared folder.
     Null ends are dropped; self-links and repeated links change nothing; no links give no rows.
     """
-    edges = links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    edges = stored(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        step = stored(low.join(up, "label").select("node", "old", F.least("label", "top").alias("label")), "labels")
-        if step.where("old <> label").isEmpty():
-            return step.select("node", "label")
-        labels = step.select("node", "label")
+    return connected(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v")))

@@ -2,16 +2,18 @@
 
 A shard is a run of documents in ascending doc_id order. Its image is one self-contained compressed file:
 
-    b"SWM1" | u32 length of the head | head (zstd) | 16 planes, each u32 length | zstd frame
+    b"SWM2" | head | 16 x (directory | u32 number of pieces | pieces), each frame u32 length | zstd
 
 The head holds the counts, the documents' ids and their token counts. A plane is a bit per token in the order of
-its level, packed, after a directory of the ones before every 512 bits; so ``access``, ``rank`` and ``select``
-(token access, counting, occurrence lookup) work on the planes without unpacking tokens. Images are rows of a table
+its level, packed and cut into pieces of ``PIECE`` bytes; its directory holds the ones before every 512 bits. So
+``access``, ``rank`` and ``select`` (token access, counting, occurrence lookup) work on the compressed file: they
+inflate the pieces that they touch, and no tokens are unpacked. Images are rows of a table
 written by Spark (part, shard, tokens before the shard in its part, image), whose commit survives lost tasks.
 
 The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks between ASCII
 white space, one after another; each different chunk is encoded by the tokenizers library once per worker (which
-remembers at most about ``CACHE`` of them). Tests hold this against encoding whole texts.
+remembers at most about ``CACHE`` of them). Chunks are found by 64-bit hashes and compared byte by byte; where two of
+one hash differ, the texts around are encoded whole. Tests hold this against encoding whole texts.
 
 Defined cases: null text is empty and has the end id only; order is by (doc_id with nulls first, a hash of the text),
 so repeated rows and null ids have a place of their own; a document longer than a shard is a shard; texts are taken
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.llm.hashing import BLOCK, located
-from sievework.session import bound_batches, new_path, stored, table
+from sievework.session import bound_batches, new_path, stored, table, written
 
 END_ID = 2
 BITS = 16
@@ -46,14 +48,42 @@ BATCH_BYTES = 1 << 20
 BLOCK_CHUNKS = 4096
 #: More parts than this are joined by a shuffle.
 BROADCAST_PARTS = 500_000
-_MAGIC = b"SWM1"
+_MAGIC = b"SWM2"
 _BLOCK = 512
+PIECE = 8192
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+class Pieces:
+    """The bytes of a plane, inflated piece by piece when they are read."""
+
+    def __init__(self, size: int, frames: list[bytes | memoryview]) -> None:
+        self.size, self.frames = size, frames
+        self.inflated: dict[int, np.ndarray] = {}
+
+    def _piece(self, k: int) -> np.ndarray:
+        if k not in self.inflated:
+            import zstandard
+
+            self.inflated[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.frames[k]), np.uint8)
+        return self.inflated[k]
+
+    def __getitem__(self, at: int | slice) -> np.ndarray:
+        if isinstance(at, int):
+            return self._piece(at // PIECE)[at % PIECE]
+        a, b, _ = at.indices(self.size)
+        if a >= b:
+            return np.zeros(0, np.uint8)
+        first = a // PIECE
+        got = [self._piece(k) for k in range(first, (b - 1) // PIECE + 1)]
+        return (got[0] if len(got) == 1 else np.concatenate(got))[a - first * PIECE : b - first * PIECE]
 
 
 class WaveletMatrix:
     """Sixteen bit-planes over a sequence of ids below 65,536."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], counts: list[np.ndarray]) -> None:
+    def __init__(self, n: int, planes: list[np.ndarray] | list[Pieces], counts: list[np.ndarray]) -> None:
         self.n, self.planes, self.counts = n, planes, counts
 
     @classmethod
@@ -75,7 +105,7 @@ class WaveletMatrix:
         """All ids, from the last plane to the first."""
         cur = np.zeros(self.n, np.uint16)
         for level, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            bit = np.unpackbits(plane, count=self.n).view(bool)
+            bit = np.unpackbits(plane[:], count=self.n).view(bool)
             up = np.empty_like(cur)
             up[~bit] = cur[:z]
             up[bit] = cur[z:] | np.uint16(1 << level)
@@ -156,7 +186,11 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byte
     head = struct.pack("<QI", len(ids), len(doc_ids)) + np.packbits(known).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes()
     out = [_MAGIC, *_framed(z.compress(head))]
     for plane, counts in zip(w.planes, w.counts, strict=True):
-        out += _framed(z.compress(struct.pack("<I", len(counts)) + counts.astype("<u4").tobytes() + plane.tobytes()))
+        out += _framed(z.compress(counts.astype("<u4").tobytes()))
+        pieces = [plane[k : k + PIECE].tobytes() for k in range(0, len(plane), PIECE)]
+        out.append(struct.pack("<I", len(pieces)))
+        for piece in pieces:
+            out += _framed(z.compress(piece))
     return b"".join(out)
 
 
@@ -172,13 +206,18 @@ def unpack(image: bytes | memoryview) -> tuple[WaveletMatrix, list[int | None],
     if bytes(image[:4]) != _MAGIC:
         raise ValueError("not a shard image")
 
-    def frame() -> bytes:
+    def number() -> int:
+        nonlocal at
+        at += 4
+        return struct.unpack_from("<I", image, at - 4)[0]
+
+    def frame() -> memoryview:
         nonlocal at
-        (size,) = struct.unpack_from("<I", image, at)
-        at += 4 + size
-        return z.decompress(image[at - size : at])
+        size = number()
+        at += size
+        return memoryview(image)[at - size : at]
 
-    head = frame()
+    head = z.decompress(frame())
     n, docs = struct.unpack_from("<QI", head)
     k = 12 + (docs + 7) // 8
     known = np.unpackbits(np.frombuffer(head, np.uint8, k - 12, 12), count=docs)
@@ -186,10 +225,8 @@ def unpack(image: bytes | memoryview) -> tuple[WaveletMatrix, list[int | None],
     lengths = np.frombuffer(head, "<u8", docs, k + 8 * docs).astype(np.int64)
     planes, counts = [], []
     for _ in range(BITS):
-        data = frame()
-        (m,) = struct.unpack_from("<I", data)
-        counts.append(np.frombuffer(data, "<u4", m, 4))
-        planes.append(np.frombuffer(data, np.uint8, offset=4 + 4 * m))
+        counts.append(np.frombuffer(z.decompress(frame()), "<u4"))
+        planes.append(Pieces((n + 7) // 8, [frame() for _ in range(number())]))
     return WaveletMatrix(n, planes, counts), [int(d) if ok else None for d, ok in zip(ids, known, strict=True)], lengths
 
 
@@ -197,9 +234,9 @@ class Encoder:
     """Ids of whole texts (UTF-8 bytes), as little-endian 16-bit integers, with the end id.
 
     Texts are hashed in blocks; a block's different chunks are looked up in sorted arrays of (hash, place, length) over
-    one array of ids, new ones go to the library, and the block's ids are one gather. Chunks are told apart by 64-bit
-    hashes that take A-Z as a-z, as the tokenizer does; texts with the start of a special token's string, which it does
-    not lower-case, are encoded directly.
+    one array of ids, new ones go to the library, and the block's ids are one gather. Hashes and the comparison of bytes
+    take A-Z as a-z, as the tokenizer must do (that is checked); texts with the start of a special token's string, which
+    it does not lower-case, are encoded directly.
     """
 
     def __init__(self, path: str, end_id: int = END_ID) -> None:
@@ -211,12 +248,18 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << BITS:
             raise ValueError("ids of at most 16 bits are supported")
+        one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        if any(one(c) != one(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ") or one("a b\tc\nD") != [i for c in "abcd" for i in one(c)]:
+            raise ValueError("a tokenizer is needed that lower-cases and drops white space")
         self.end_id = end_id
         self._clear()
 
     def _clear(self) -> None:
         self.keys, self.places, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.store, self.used = np.zeros(1 << 16, "<u2"), 0
+        #: The chunks' own bytes, where each begins and how many there are.
+        self.own, self.owned = np.zeros(1 << 16, np.uint8), 0
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
@@ -248,6 +291,8 @@ class Encoder:
             new = first[~known]
             self._learn(which[~known], at[~known], [raw[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             at = np.searchsorted(self.keys, which)
+        if not self._same(raw, starts, ends, at[back]):
+            return [np.array([*self._direct(t), self.end_id], "<u2").tobytes() for t in texts]
         length = self.lengths[at][back]
         upto = np.cumsum(length)
         ids = self.store[np.repeat(self.places[at][back] - upto + length, length) + np.arange(int(upto[-1]) if len(upto) else 0)]
@@ -260,6 +305,16 @@ class Encoder:
             self._clear()
         return got
 
+    def _same(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> bool:
+        """Whether every chunk's bytes are those of the chunk that it was taken for."""
+        size = ends - starts
+        if not np.array_equal(size, self.sizes[at]):
+            return False
+        upto = np.cumsum(size)
+        step = np.arange(int(upto[-1]) if len(upto) else 0)
+        here = np.frombuffer(raw, np.uint8)[np.repeat(starts - upto + size, size) + step]
+        return np.array_equal(_LOWER[here], self.own[np.repeat(self.starts[at] - upto + size, size) + step])
+
     def _learn(self, keys: np.ndarray, at: np.ndarray, chunks: list[bytes]) -> None:
         pieces = []
         for i in range(0, len(chunks), BLOCK_CHUNKS):
@@ -271,7 +326,15 @@ class Encoder:
         self.store[self.used : self.used + len(ids)] = ids
         places = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
+        letters = _LOWER[np.frombuffer(b"".join(chunks), np.uint8)]
+        while self.owned + len(letters) > len(self.own):
+            self.own = np.concatenate((self.own, np.zeros_like(self.own)))
+        self.own[self.owned : self.owned + len(letters)] = letters
+        sizes = np.array([len(c) for c in chunks], np.int64)
+        starts = self.owned + np.cumsum(sizes) - sizes
+        self.owned += len(letters)
         self.keys, self.places, self.lengths = np.insert(self.keys, at, keys), np.insert(self.places, at, places), np.insert(self.lengths, at, lengths)
+        self.starts, self.sizes = np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
 
     def _encode_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
         """Chunks in one call, a blank between them; a token belongs to the chunk in which it starts."""
@@ -342,7 +405,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
     d = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
     dealt = d.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    dealt.mapInArrow(_writer(tokenizer_path, shard_tokens), SHARDS).write.parquet(path)
+    written(dealt.mapInArrow(_writer(tokenizer_path, shard_tokens), SHARDS), path)
 
 
 READ = "doc_id long, base long, n_tokens long, ids_crc32 long"

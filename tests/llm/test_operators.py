@@ -83,6 +83,43 @@ def test_encoder_equals_whole_texts():
             assert np.frombuffer(got, "<u2").tolist() == [*whole.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_lookups_inflate_what_they_touch():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 49408, 400_000).astype(np.uint16)
+    m, _, _ = wavelet.unpack(wavelet.pack(a, [1], [len(a)]))
+    i = 123_456
+    assert m.access(i) == a[i] and sum(len(p.inflated) for p in m.planes) <= 16 * 2
+    pieces = sum(len(p.frames) for p in m.planes)
+    t = int(a[7])
+    assert m.select(t, 0) == np.flatnonzero(a == t)[0] and m.rank(t) == (a == t).sum() and sum(len(p.inflated) for p in m.planes) < pieces
+    assert (m.ids() == a).all()
+
+
+def test_encoder_tells_chunks_of_one_hash_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    monkeypatch.setattr(wavelet, "located", lambda raw: (lambda h, a, b: (h % np.uint64(7), a, b))(*hashing.located(raw)))
+    texts = ["one two three four five six seven eight", "nine ten eleven twelve", "Two THREE"]
+    for t, got in zip(texts, wavelet.Encoder(path).encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == [*whole.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_encoder_long_texts_and_forgetting(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    whole, e = Tokenizer.from_file(path), wavelet.Encoder(path)
+    monkeypatch.setattr(wavelet, "CACHE", 5)
+    texts = ["a long one " * 110_000, *(f"some words {i} here" for i in range(50)), "a long one again"]
+    for t, got in zip(texts, [x for k in range(0, len(texts), 9) for x in e.encode([t.encode() for t in texts[k : k + 9]])], strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == [*whole.encode(t, add_special_tokens=False).ids, 2]
+    assert len(e.keys) < 60
+    with pytest.raises(ValueError, match="lower-cases"):
+        wavelet.Encoder(P.path("byte_bpe_50k.json"))
+
+
 def test_shards_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
