@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,8 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@lru_cache(maxsize=8)
+def _own_dir(app_id: str) -> str:
+    """The application's own folder of the shared one, deleted when the driver ends."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    path = f"{shared_dir(spark)}/sievework/{app_id}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop)
+    fs.deleteOnExit(hadoop)
+    return path
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/sievework/{label}-{uuid.uuid4().hex[:12]}"
+    """A new place for a table that lives as long as the application."""
+    return f"{_own_dir(spark.sparkContext.applicationId)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, path: str, **options: str) -> DataFrame:
