@@ -16,8 +16,8 @@ _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _VALUES[65:91] = _VALUES[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
@@ -49,7 +49,7 @@ def _block_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def located(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of the words of at most BLOCK bytes."""
-    space = _SPACE[data]
+    space = SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -101,11 +101,11 @@ def _long(data: np.ndarray) -> Iterator[np.ndarray]:
     while at < len(data):
         end = min(at + BLOCK, len(data))
         if end < len(data):
-            blanks = np.flatnonzero(_SPACE[data[at:end]])
+            blanks = np.flatnonzero(SPACE[data[at:end]])
             if len(blanks):
                 end = at + int(blanks[-1]) + 1
             else:  # a single word longer than a block: hashed by itself
-                stop = at + int(np.argmax(_SPACE[data[at:]])) if _SPACE[data[at:]].any() else len(data)
+                stop = at + int(np.argmax(SPACE[data[at:]])) if SPACE[data[at:]].any() else len(data)
                 word, acc = data[at:stop], 0
                 for k in range(0, len(word), BLOCK):
                     piece = word[k : k + BLOCK]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.hashing import BLOCK, located
+from sievework.llm.hashing import BLOCK, SPACE, located
 from sievework.session import bound_batches, new_path, stored, table, written
 
 END_ID = 2
@@ -310,10 +310,11 @@ class Encoder:
         size = ends - starts
         if not np.array_equal(size, self.sizes[at]):
             return False
-        upto = np.cumsum(size)
-        step = np.arange(int(upto[-1]) if len(upto) else 0)
-        here = np.frombuffer(raw, np.uint8)[np.repeat(starts - upto + size, size) + step]
-        return np.array_equal(_LOWER[here], self.own[np.repeat(self.starts[at] - upto + size, size) + step])
+        data = np.frombuffer(raw, np.uint8)
+        here = _LOWER[data[~SPACE[data]]]  # the chunks' bytes, one after another
+        place = np.repeat((self.starts[at] - np.cumsum(size) + size).astype(np.int32), size)
+        place += np.arange(len(place), dtype=np.int32)
+        return bool((here == self.own.take(place)).all())
 
     def _learn(self, keys: np.ndarray, at: np.ndarray, chunks: list[bytes]) -> None:
         pieces = []
