@@ -69,9 +69,9 @@ def passages(keyed: DataFrame) -> DataFrame:
     cut = F.transform("_sw_hash", lambda h, i: ((prior(i) * 31 + h) % TARGET_LINES == 0) | long_at(i) | long_at(i + 1))
     places = F.sequence(F.lit(0), F.size("_sw_lines") - 1)
     filled = F.filter(places, lambda i: F.get(F.col("_sw_n"), i) > 0)
-    b = a.select("*", cut.alias("_sw_cut"), filled.alias("_sw_filled"))
-    starts = F.filter(places, lambda i: (i == 0) | F.get(F.col("_sw_cut"), i - 1))
-    c = b.select("*", starts.alias("_sw_starts"))
+    # The cuts are bound to a variable: as a column they would be computed anew at every place.
+    starts = F.get(F.transform(F.array(cut), lambda c: F.filter(places, lambda i: (i == 0) | F.get(c, i - 1))), F.lit(0))
+    c = a.select("*", filled.alias("_sw_filled"), starts.alias("_sw_starts"))
     end = lambda k: F.coalesce(F.get(F.col("_sw_starts"), k + 1), F.size("_sw_lines"))
     spans = F.transform("_sw_starts", lambda s, k: F.struct(s.alias("start"), (end(k) - s).alias("len")))
     part = lambda col, x: F.slice(F.col(col), x.start + 1, x.len)
