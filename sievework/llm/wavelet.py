@@ -42,7 +42,7 @@ from sievework.session import bound_batches, new_path, stored, table, written
 END_ID = 2
 BITS = 16
 SHARD_TOKENS = 1 << 19
-CACHE = 3_000_000
+CACHE, CACHE_BYTES = 3_000_000, 1 << 28
 BATCH_BYTES = 1 << 20
 #: Chunks given to the library at once; its results are large.
 BLOCK_CHUNKS = 4096
@@ -59,14 +59,14 @@ class Pieces:
     """The bytes of a plane, inflated piece by piece when they are read."""
 
     def __init__(self, size: int, frames: list[bytes | memoryview]) -> None:
-        self.size, self.frames = size, frames
+        import zstandard
+
+        self.size, self.frames, self.z = size, frames, zstandard.ZstdDecompressor()
         self.inflated: dict[int, np.ndarray] = {}
 
     def _piece(self, k: int) -> np.ndarray:
         if k not in self.inflated:
-            import zstandard
-
-            self.inflated[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.frames[k]), np.uint8)
+            self.inflated[k] = np.frombuffer(self.z.decompress(self.frames[k]), np.uint8)
         return self.inflated[k]
 
     def __getitem__(self, at: int | slice) -> np.ndarray:
@@ -230,11 +230,25 @@ def unpack(image: bytes | memoryview) -> tuple[WaveletMatrix, list[int | None],
     return WaveletMatrix(n, planes, counts), [int(d) if ok else None for d, ok in zip(ids, known, strict=True)], lengths
 
 
+def _runs(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of ``values``, one after another."""
+    place = np.repeat((starts - np.cumsum(sizes) + sizes).astype(np.int32), sizes)
+    place += np.arange(len(place), dtype=np.int32)
+    return values.take(place)
+
+
+def _with(buffer: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``buffer`` with ``more`` from place ``used`` on; it doubles where it is too short."""
+    while used + len(more) > len(buffer):
+        buffer = np.concatenate((buffer, np.zeros_like(buffer)))
+    buffer[used : used + len(more)] = more
+    return buffer
+
+
 class Encoder:
     """Ids of whole texts (UTF-8 bytes), as little-endian 16-bit integers, with the end id.
 
-    Texts are hashed in blocks; a block's different chunks are looked up in sorted arrays of (hash, place, length) over
-    one array of ids, new ones go to the library, and the block's ids are one gather. Hashes and the comparison of bytes
+    Texts are hashed in blocks; a block's different chunks are looked up in a sorted array of hashes, new ones go to the library, and the block's ids are one gather. Hashes and the comparison of bytes
     take A-Z as a-z, as the tokenizer must do (that is checked); texts with the start of a special token's string, which
     it does not lower-case, are encoded directly.
     """
@@ -255,11 +269,11 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.places, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.store, self.used = np.zeros(1 << 16, "<u2"), 0
-        #: The chunks' own bytes, where each begins and how many there are.
-        self.own, self.owned = np.zeros(1 << 16, np.uint8), 0
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Sorted hashes and the number of each one's chunk; what a chunk is stands at its number, in order of arrival.
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.places, self.lengths, self.starts, self.sizes = (np.zeros(1 << 12, np.int32) for _ in range(4))
+        self.store, self.used = np.zeros(1 << 16, "<u2"), 0  # ids
+        self.own, self.owned = np.zeros(1 << 16, np.uint8), 0  # bytes
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
@@ -291,51 +305,42 @@ class Encoder:
             new = first[~known]
             self._learn(which[~known], at[~known], [raw[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             at = np.searchsorted(self.keys, which)
-        if not self._same(raw, starts, ends, at[back]):
+        chunk = self.row[at][back]
+        if not self._same(raw, starts, ends, chunk):
             return [np.array([*self._direct(t), self.end_id], "<u2").tobytes() for t in texts]
-        length = self.lengths[at][back]
+        length = self.lengths[chunk]
         upto = np.cumsum(length)
-        ids = self.store[np.repeat(self.places[at][back] - upto + length, length) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        ids = _runs(self.store, self.places[chunk], length)
         bounds = np.cumsum([len(t) + 1 for t in texts])  # a text's words start before its bound
         cut = np.concatenate(([0], upto))[np.searchsorted(starts, bounds)].tolist()
         full = ids.tobytes()
         end = struct.pack("<H", self.end_id)
         got = [full[2 * i : 2 * j] + end for i, j in zip([0, *cut], cut, strict=False)]
-        if len(self.keys) > CACHE:
+        if len(self.keys) > CACHE or self.owned > CACHE_BYTES:
             self._clear()
         return got
 
     def _same(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> bool:
         """Whether every chunk's bytes are those of the chunk that it was taken for."""
-        size = ends - starts
+        size = (ends - starts).astype(np.int32)
         if not np.array_equal(size, self.sizes[at]):
             return False
         data = np.frombuffer(raw, np.uint8)
         here = _LOWER[data[~SPACE[data]]]  # the chunks' bytes, one after another
-        place = np.repeat((self.starts[at] - np.cumsum(size) + size).astype(np.int32), size)
-        place += np.arange(len(place), dtype=np.int32)
-        return bool((here == self.own.take(place)).all())
+        return bool((here == _runs(self.own, self.starts[at], size)).all())
 
     def _learn(self, keys: np.ndarray, at: np.ndarray, chunks: list[bytes]) -> None:
         pieces = []
         for i in range(0, len(chunks), BLOCK_CHUNKS):
             pieces += self._encode_chunks(chunks[i : i + BLOCK_CHUNKS])
-        lengths = np.array([len(x) for x in pieces], np.int64)
-        ids = np.concatenate(pieces) if pieces else np.zeros(0, "<u2")
-        while self.used + len(ids) > len(self.store):
-            self.store = np.concatenate((self.store, np.zeros_like(self.store)))
-        self.store[self.used : self.used + len(ids)] = ids
-        places = self.used + np.cumsum(lengths) - lengths
-        self.used += len(ids)
-        letters = _LOWER[np.frombuffer(b"".join(chunks), np.uint8)]
-        while self.owned + len(letters) > len(self.own):
-            self.own = np.concatenate((self.own, np.zeros_like(self.own)))
-        self.own[self.owned : self.owned + len(letters)] = letters
-        sizes = np.array([len(c) for c in chunks], np.int64)
-        starts = self.owned + np.cumsum(sizes) - sizes
-        self.owned += len(letters)
-        self.keys, self.places, self.lengths = np.insert(self.keys, at, keys), np.insert(self.places, at, places), np.insert(self.lengths, at, lengths)
-        self.starts, self.sizes = np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+        n, more = len(self.keys), len(chunks)
+        lengths, sizes = np.array([len(x) for x in pieces], np.int32), np.array([len(c) for c in chunks], np.int32)
+        ids, letters = np.concatenate(pieces), _LOWER[np.frombuffer(b"".join(chunks), np.uint8)]
+        self.store, self.own = _with(self.store, self.used, ids), _with(self.own, self.owned, letters)
+        self.places, self.lengths = _with(self.places, n, self.used + np.cumsum(lengths) - lengths), _with(self.lengths, n, lengths)
+        self.starts, self.sizes = _with(self.starts, n, self.owned + np.cumsum(sizes) - sizes), _with(self.sizes, n, sizes)
+        self.used, self.owned = self.used + len(ids), self.owned + len(letters)
+        self.keys, self.row = np.insert(self.keys, at, keys), np.insert(self.row, at, np.arange(n, n + more, dtype=np.int32))
 
     def _encode_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
         """Chunks in one call, a blank between them; a token belongs to the chunk in which it starts."""
