@@ -2,8 +2,8 @@
 
 Stage functions take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.
 
-1. quality: documents whose score lies below the cut go. The cut is the 0.2 % score quantile of the labelled good
-   documents, at most 0.5, from the pairwise ranking model.
+1. quality: documents whose score lies below the cut go. The cut is the 0.2 % score quantile of all labelled good
+   documents of the training side, at most 0.5, from the pairwise ranking model.
 2. line_dedup: repeated multi-line passages are removed from texts; n_chars follows. Documents that had words and
    have none left go: all they held is in an earlier document.
 3. near_dedup: of each group of near-duplicates (word shingles of five, similarity 0.8 or more) the document of the

@@ -2,12 +2,15 @@
 
 A document's strength is linear in features of its text; a preference pair (a document of label 1 over one of label
 0) has the logistic probability of the difference of their strengths, so the weights come from logistic loss on
-feature differences. Strengths become probabilities by a logistic fit on the same labelled rows, weighted to the
-label counts of the whole training side. ``quantile_cut`` gives the score below which a stated share of the labelled
-good documents lies.
+feature differences. Strengths become probabilities by a logistic fit on the same labelled rows. ``quantile_cut``
+gives the score below which a stated share of the labelled good documents of the training side lies.
 
-The fit takes at most ``MAX_TRAIN`` labelled rows per label (in the order of a hash of doc_id) and at most
-``MAX_PAIRS`` pairs; label counts and scores cover all documents. Inputs of a score are features of the text alone.
+Nothing is sampled: means, weights, calibration and quantile come from passes over all labelled rows of the training
+side, whose features are stored once, and the loss is that of all pairs of a good and a bad row. A pair's loss depends
+on the difference of two strengths alone, so a pass spreads each row over the ``NODES`` nearest nodes of a grid of
+strengths (Lagrange interpolation), and the driver sums over pairs of nodes instead of pairs of rows. The nodes replace
+the logistic function by a polynomial that is off by less than 1e-7; a quantile is exact. A pass takes at most ``TASKS``
+tasks, each of which sends the driver one sum per node. Inputs of a score are features of the text alone.
 
 Defined cases: null and empty texts have the features of no words and get a score like any other; labels that are
 null or on unknown documents are ignored; of several labels of a document the lowest counts; without labels of both
@@ -18,8 +21,8 @@ training row); repeated rows get a row each; texts are taken whole; extra column
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -27,10 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.session import bound_batches, table
+from sievework.operators.bounded import BROADCAST_KEYS, at_most
+from sievework.session import bound_batches, stored, table
 
-MAX_TRAIN = 10_000
-MAX_PAIRS = 100_000
+#: Spacing of the grid of strengths, and the nodes a strength is spread over.
+STEP, NODES = 0.25, 10
+#: Tasks of a pass over the labelled rows.
+TASKS = 64
+#: Bits of a score that a pass of ``quantile_cut`` settles: five passes.
+DIGIT = 13
 HELD_OUT = 2
 PREDICT_AT = 0.7
 L2 = 1e-3
@@ -69,6 +77,45 @@ def features(text: bytes) -> list[float]:
     ]
 
 
+Sums = dict[tuple[int, int], np.ndarray]
+#: From features and labels of some rows to keyed sums over them.
+Task = Callable[[np.ndarray, np.ndarray], Sums]
+
+
+def _added(parts: Iterator[Sums]) -> Sums:
+    out: Sums = {}
+    for part in parts:
+        for key, v in part.items():
+            out[key] = out[key] + v if key in out else v
+    return out
+
+
+class Rows:
+    """Labelled rows in memory, passed over as often as a fit needs."""
+
+    def __init__(self, x: np.ndarray, label: np.ndarray):
+        self.x, self.label = x, label
+
+    def total(self, task: Task) -> Sums:
+        return task(self.x, self.label)
+
+
+class StoredRows(Rows):
+    """Labelled rows of a stored frame (quality, x); each task adds up its own rows."""
+
+    def __init__(self, frame: DataFrame):
+        self.frame = frame.coalesce(TASKS)
+
+    def total(self, task: Task) -> Sums:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = _added(task(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1), b.column(0).to_numpy()) for b in batches if b.num_rows)
+            kind, place = ([key[i] for key in got] for i in (0, 1))
+            yield pa.record_batch([pa.array(kind, pa.int64()), pa.array(place, pa.int64()), pa.array([v.tobytes() for v in got.values()], pa.binary())], names=["kind", "place", "sums"])
+
+        rows = self.frame.mapInArrow(each, "kind long, place long, sums binary").collect()
+        return _added({(r.kind, r.place): np.frombuffer(r.sums)} for r in rows)
+
+
 @dataclass(frozen=True)
 class Model:
     mean: np.ndarray
@@ -76,68 +123,160 @@ class Model:
     weights: np.ndarray
     slope: float
     offset: float
-    good_scores: np.ndarray  # of the training rows of label 1, sorted
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        z = ((x - self.mean) / self.scale) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -40, 40)))
-
-    def quantile_cut(self, share: float, most: float = 0.5) -> float:
-        """The ``share``-quantile of the good documents' scores, at most ``most``."""
-        return float(min(np.quantile(self.good_scores, share), most)) if len(self.good_scores) else 0.0
+    rows: Rows | None = None  # all labelled rows of the training side
 
+    def plain(self) -> Model:
+        """Without the rows, as tasks take it."""
+        return replace(self, rows=None)
 
-def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Weighted logistic regression with a ridge term, damped."""
-    beta = np.zeros(x.shape[1])
+    def strengths(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) / self.scale) @ self.weights
 
-    def loss(b: np.ndarray) -> float:
-        m = x @ b
-        return float((w * (np.logaddexp(0, m) - y * m)).sum() + 0.5 * (l2 * b * b).sum())
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.strengths(x) + self.offset, -40, 40)))
 
-    now = loss(beta)
+    def quantile_cut(self, share: float, most: float = 0.5) -> float:
+        """The ``share``-quantile of the scores of all good rows (between neighbours linear), at most ``most``."""
+        if self.rows is None:
+            return 0.0
+        model, heads, ranks, part = self.plain(), [0, 0], [], 0.0
+        # The bits of positive floats are in their order: the two neighbours' are found digit by digit, by counting.
+        for shift in range(4 * DIGIT, -1, -DIGIT):
+
+            def counts(x: np.ndarray, label: np.ndarray, shift: int = shift, heads: tuple[int, ...] = tuple(heads)) -> Sums:
+                bits = model.scores(x[label == 1]).view(np.int64) >> shift
+                return {(0, i): np.bincount(bits[bits >> DIGIT == h] & (1 << DIGIT) - 1, minlength=1 << DIGIT).astype(float) for i, h in enumerate(heads)}
+
+            got = self.rows.total(counts)
+            below = [np.cumsum(got[0, i]).astype(int) for i in (0, 1)]
+            if not ranks:
+                last = int(below[0][-1]) - 1
+                ranks = [int(share * last), min(int(share * last) + 1, last)]
+                part = share * last - ranks[0]
+            for i in (0, 1):
+                digit = int(np.searchsorted(below[i], ranks[i], side="right"))
+                ranks[i] -= int(below[i][digit - 1]) if digit else 0
+                heads[i] = heads[i] << DIGIT | digit
+        low, high = np.array(heads).view(np.float64)
+        return float(min(low + (high - low) * part, most))
+
+
+def _newton(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], k: int, steps: int = 60) -> np.ndarray:
+    """The minimum of a convex function given with gradient and Hessian, damped; rounded beyond what the order of sums changes."""
+    beta = np.zeros(k)
+    loss, grad, hess = evaluate(beta)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
-        grad = x.T @ (w * (p - y)) + l2 * beta
-        hess = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(l2 + 1e-9)
-        step, t = np.linalg.solve(hess, grad), 1.0
-        while t > 1e-6 and loss(beta - t * step) > now:
-            t /= 2
-        beta = beta - t * step
-        new = loss(beta)
-        if now - new < 1e-10 * max(1.0, abs(now)):
+        step, t = np.linalg.solve(hess + 1e-9 * np.eye(k), grad), 1.0
+        if np.abs(step).max() < 1e-6:
+            beta = beta - step
             break
-        now = new
-    return beta
+        new = evaluate(beta - step)
+        while t > 1e-6 and new[0] > loss + 1e-8:
+            t /= 2
+            new = evaluate(beta - t * step)
+        beta, (loss, grad, hess) = beta - t * step, new
+    return np.round(beta, 9)
+
+
+_NEAR = np.arange(NODES) - (NODES // 2 - 1)
+
+
+def _spread(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the grid and the weights of the nodes around them, for places in units of ``STEP``."""
+    cell = np.floor(at)
+    away = (at - cell)[:, None] - _NEAR
+    weights = [np.delete(away, j, 1).prod(axis=1) / np.delete(_NEAR[j] - _NEAR, j).prod() for j in range(NODES)]
+    return cell.astype(np.int64), np.column_stack(weights)
+
+
+def _on_nodes(model: Model) -> Task:
+    """Per label and node, sums of 1, z and z z' (the upper triangle of (1, z) (1, z)')."""
+
+    def task(x: np.ndarray, label: np.ndarray) -> Sums:
+        z = (x - model.mean) / model.scale
+        v = np.column_stack((np.ones(len(z)), z))
+        i, j = np.triu_indices(v.shape[1])
+        squares, out = v[:, i] * v[:, j], {}
+        cell, weights = _spread(model.strengths(x) / STEP)
+        for q in (0, 1):
+            mine = np.flatnonzero(label == q)
+            mine = mine[np.argsort(cell[mine], kind="stable")]
+            cells, starts = np.unique(cell[mine], return_index=True)
+            for c, rows in zip(cells.tolist(), np.split(mine, starts[1:]), strict=False):
+                for near, sums in zip(_NEAR.tolist(), weights[rows].T @ squares[rows], strict=True):
+                    key = (q, c + near)
+                    out[key] = out[key] + sums if key in out else sums
+        return out
+
+    return task
+
+
+def _pair_loss(sums: Sums, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean logistic loss over all pairs with the ridge term, its gradient and Hessian, from sums on nodes."""
+    k = len(weights)
+    place = {q: np.array(sorted(c for kind, c in sums if kind == q)) for q in (0, 1)}
+    good, bad = (np.array([sums[q, c] for c in place[q].tolist()]) for q in (1, 0))
+
+    def square(v: np.ndarray) -> np.ndarray:
+        m = np.zeros((k + 1, k + 1))
+        m[np.triu_indices(k + 1)] = v
+        return (m + np.triu(m, 1).T)[1:, 1:]
+
+    loss, grad, hess = 0.0, np.zeros(k), np.zeros((k, k))
+    for at in range(0, len(good), 256):  # pairs of nodes in blocks
+        g = good[at : at + 256]
+        behind = (place[0][None, :] - place[1][at : at + 256, None]) * STEP
+        p = np.exp(-np.logaddexp(0, -behind))
+        w = p * np.exp(-np.logaddexp(0, behind))
+        loss += g[:, 0] @ np.logaddexp(0, behind) @ bad[:, 0]
+        grad += (g[:, 0] @ p) @ bad[:, 1 : k + 1] - (p @ bad[:, 0]) @ g[:, 1 : k + 1]
+        cross = g[:, 1 : k + 1].T @ w @ bad[:, 1 : k + 1]
+        hess += square((w @ bad[:, 0]) @ g) + square((g[:, 0] @ w) @ bad) - cross - cross.T
+    pairs = good[:, 0].sum() * bad[:, 0].sum()
+    return loss / pairs + 0.5 * L2 * float(weights @ weights), grad / pairs + L2 * weights, hess / pairs + L2 * np.eye(k)
+
+
+def _calibration(model: Model, stands: dict[int, float], ab: np.ndarray) -> Task:
+    """Weighted logistic loss of slope and offset over strengths, its gradient and Hessian."""
+
+    def task(x: np.ndarray, label: np.ndarray) -> Sums:
+        s = np.column_stack((model.strengths(x), np.ones(len(x))))
+        w, m = np.where(label == 1, stands[1], stands[0]), s @ ab
+        p = np.exp(-np.logaddexp(0, -m))
+        return {(0, 0): np.concatenate(([w @ (np.logaddexp(0, m) - label * m)], (w * (p - label)) @ s, ((s * (w * p * (1 - p))[:, None]).T @ s).ravel()))}
+
+    return task
+
+
+def _fitted(rows: Rows, k: int, totals: dict[int, int] | None = None) -> Model:
+    got = rows.total(lambda x, label: {(q, 0): np.append(x[label == q].sum(axis=0), (label == q).sum().astype(float)) for q in (0, 1)})
+    n = {q: float(got[q, 0][k]) if (q, 0) in got else 0.0 for q in (0, 1)}
+    if not n[0] or not n[1]:
+        return Model(np.zeros(k), np.ones(k), np.zeros(k), 0.0, 0.0)
+    mean = np.round((got[0, 0] + got[1, 0])[:k] / (n[0] + n[1]), 12)
+    scale = np.round(np.sqrt(rows.total(lambda x, _: {(0, 0): ((x - mean) ** 2).sum(axis=0)})[0, 0] / (n[0] + n[1])), 12)
+    model = Model(mean, np.where(scale > 1e-9, scale, 1.0), np.zeros(k), 0.0, 0.0)
+    model = replace(model, weights=_newton(lambda w: _pair_loss(rows.total(_on_nodes(replace(model, weights=w))), w), k))
+    stands = {q: totals[q] / n[q] if totals else 1.0 for q in (0, 1)}
+    ridge, whole = np.array([1e-4, 0.0]), sum(stands[q] * n[q] for q in (0, 1))
+
+    def loss(ab: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        v = rows.total(_calibration(model, stands, ab))[0, 0] / whole
+        return v[0] + 0.5 * float(ridge @ (ab * ab)), v[1:3] + ridge * ab, v[3:].reshape(2, 2) + np.diag(ridge)
+
+    slope, offset = _newton(loss, 2)
+    return replace(model, slope=float(slope), offset=float(offset), rows=rows)
 
 
 def fit(x: np.ndarray, label: np.ndarray, totals: dict[int, int]) -> Model:
-    """Bradley-Terry weights from pairs of rows, then the calibration."""
-    k = x.shape[1] if x.ndim == 2 else len(FEATURES)
-    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    if not len(good) or not len(bad):
-        return Model(np.zeros(k), np.ones(k), np.zeros(k), 0.0, 0.0, np.zeros(0))
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    z = (x - mean) / scale
-    rng = np.random.Generator(np.random.PCG64(11))
-    n = min(MAX_PAIRS, len(good) * len(bad))
-    won, lost = rng.choice(good, n), rng.choice(bad, n)
-    diff = z[won] - z[lost]
-    w = np.full(n, 1 / n)
-    weights = _newton(diff, np.ones(n), w, np.full(k, L2))
-    strength = z @ weights
-    share = {1: totals[1] / len(good), 0: totals[0] / len(bad)}
-    sw = np.where(label == 1, share[1], share[0])
-    slope, offset = _newton(np.column_stack((strength, np.ones(len(z)))), label.astype(float), sw / sw.sum(), np.array([1e-4, 0.0]))
-    model = Model(mean, scale, weights, float(slope), float(offset), np.zeros(0))
-    return Model(mean, scale, weights, float(slope), float(offset), np.sort(model.scores(x[good])))
+    """The model of rows in memory that stand for ``totals`` rows of each label."""
+    return _fitted(Rows(x, label), x.shape[1] if x.ndim == 2 else len(FEATURES), totals)
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [features(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1)]
-        yield pa.record_batch([b.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
+        yield pa.record_batch([b.column(0), pa.array(rows, pa.list_(pa.float64()))], names=[b.schema.names[0], "x"])
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
@@ -145,17 +284,18 @@ def remainder(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
+    bound_batches(docs.sparkSession)
     known = (
         labels.where("doc_id is not null and quality in (0, 1)")
         .where(~remainder().isin(-1, HELD_OUT))
         .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     )
-    totals = {0: 0, 1: 0} | {r.quality: r.n for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN) for q in (0, 1)]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 x MAX_TRAIN rows
-    x = docs.select("doc_id", "text").join(chosen.select("doc_id"), "doc_id", "left_semi").mapInArrow(_feature_rows, "doc_id long, x array<double>")
-    rows = sorted((r.doc_id, r.quality, r.x) for r in x.join(chosen, "doc_id").collect())
-    return fit(np.array([r[2] for r in rows], float), np.array([r[1] for r in rows], int), totals)
+    known, texts = stored(known, "known-labels"), docs.select("doc_id", "text")
+    if at_most(known, BROADCAST_KEYS):
+        x = texts.join(F.broadcast(known), "doc_id").select("quality", "text").mapInArrow(_feature_rows, "quality int, x array<double>")
+    else:  # features travel, not texts
+        x = texts.where(~remainder().isin(-1, HELD_OUT)).mapInArrow(_feature_rows, "doc_id long, x array<double>").join(known, "doc_id").select("quality", "x")
+    return _fitted(StoredRows(stored(x, "labelled")), len(FEATURES))
 
 
 def _scorer(model: Model, name: str):
@@ -173,7 +313,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), na
     bound_batches(docs.sparkSession)
     d = docs.select(*(F.col(f"`{k}`") for k in keep if k != name), F.col("text").alias("_scored_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    return d.mapInArrow(_scorer(model, name), f"{kinds}, `{name}` double")
+    return d.mapInArrow(_scorer(model.plain(), name), f"{kinds}, `{name}` double")
 
 
 def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,6 +315,43 @@ def test_quality_edges(spark):
     assert pairwise_quality.score(docs(spark, []), model).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 10])
+def test_model_and_cut_come_from_all_labelled_rows(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pairwise_quality, "BROADCAST_KEYS", broadcast, raising=False)
+    n = 28_000
+    shapes = ["plain words in a line", "plain words, in a line.", "Some words Some words", "#a b c", "a 1 22 b c", "one two three four five six seven"]
+    texts = [f"{shapes[i * i % 6]} {'x' * (i % 23)} {'y' * (i % 11)}." for i in range(n)]
+    good = [int(i % 23 > 3 if i % 7 else i % 5 < 2) for i in range(n)]
+    train = [i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sum(good[i] for i in train) > 10_000
+    m = pairwise_quality.train(docs(spark, list(enumerate(texts))), labels(spark, [(i, q, 0) for i, q in enumerate(good)] + [(n + 5, 1, 0), (n + 6, 0, 0)]))
+    x, y = np.array([pairwise_quality.features(texts[i].encode()) for i in train]), np.array([good[i] for i in train])
+    scores = m.scores(x)
+    for share in (0.0, 0.002, 0.37, 1.0):
+        assert abs(m.quantile_cut(share, 1.0) - np.quantile(scores[y == 1], share)) < 1e-12
+    assert np.allclose(m.mean, x.mean(axis=0), atol=1e-9) and np.allclose(m.scale, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1), atol=1e-9)
+    assert abs(scores.mean() - y.mean()) < 1e-6  # calibrated to all rows
+    # At the weights, the gradient of the loss over all pairs vanishes; equal rows count by their number.
+    z = (x - m.mean) / m.scale
+    (g, ng), (b, nb) = (np.unique(z[y == q], axis=0, return_counts=True) for q in (1, 0))
+    lost = 1 / (1 + np.exp((g @ m.weights)[:, None] - (b @ m.weights)[None])) * ng[:, None] * nb
+    grad = (lost.sum(axis=0) @ b - lost.sum(axis=1) @ g) / (ng.sum() * nb.sum()) + pairwise_quality.L2 * m.weights
+    assert np.abs(grad).max() < 1e-7
+
+
+def test_loss_on_nodes_is_that_of_all_pairs():
+    rng = np.random.default_rng(12)
+    x, y, w = rng.normal(size=(500, 3)) * [1, 5, 20], rng.integers(0, 2, 500), np.array([0.7, -1.0, 0.4])
+    model = pairwise_quality.Model(np.zeros(3), np.ones(3), w, 1.0, 0.0)
+    diff = (x[y == 0][:, None] - x[y == 1][None]).reshape(-1, 3)
+    p = 1 / (1 + np.exp(-diff @ w))
+    loss, grad, hess = pairwise_quality._pair_loss(pairwise_quality._on_nodes(model)(x, y), w)
+    ridge = pairwise_quality.L2
+    assert abs(loss - np.logaddexp(0, diff @ w).mean() - ridge / 2 * w @ w) < 1e-7
+    assert np.abs(grad - (p[:, None] * diff).mean(axis=0) - ridge * w).max() < 1e-6
+    assert np.abs(hess - (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) - ridge * np.eye(3)).max() < 1e-4
+
+
 # 5
 def test_warc_file_round_trip(spark):
     big = "<p>" + "y" * 300_000
