@@ -39,9 +39,14 @@ def ngrams(toks: Column, n: int) -> Column:
     return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.array_join(F.slice(toks, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def blank_words(c: Column) -> Column:
+    """Lower-cased pieces between white space."""
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), "")
+
+
 def char_wb_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams within words padded by a blank; a word shorter than n gives itself once, then stops."""
-    words = F.transform(F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    words = F.transform(blank_words(c), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     none = F.array().cast("array<string>")
 

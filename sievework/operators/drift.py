@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework import gates
 from sievework.functions.stats import ratio
+from sievework.operators.bounded import at_most
 from sievework.operators.resampling import replicate_sums
+from sievework.operators.terms import Terms, counts, one_per_key, sums, weighted
+from sievework.session import stored
 
 
 def oov(docs: DataFrame, tokens: Column, reference: Column, group: str) -> DataFrame:
@@ -21,18 +26,28 @@ def oov(docs: DataFrame, tokens: Column, reference: Column, group: str) -> DataF
     return g.withColumn("oov_rate", ratio(F.col("n_oov"), F.col("n_tokens"))).withColumn("type_oov_rate", ratio(F.col("n_oov_types"), F.col("n_types")))
 
 
+#: Vocabularies of up to this many terms go to the tasks as they are (some 30 bytes a term); larger ones are joined.
+VOCABULARY = 500_000
+
+
+def _weighted(docs: DataFrame, key: str, terms: Terms, idf: DataFrame) -> DataFrame:
+    """``key, tok, w`` by the stored ``idf`` (``tok, idf``); a row of ``docs`` per key."""
+    if at_most(idf, VOCABULARY):
+        return weighted(docs, key, terms, idf.toArrow())
+    w = counts(docs, key, terms).join(idf, "tok").select(key, "tok", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).withColumnRenamed(key, "_key")
+    return w.join(norm, F.col(key).eqNullSafe(F.col("_key"))).select(key, "tok", (F.col("w") / F.col("norm")).alias("w"))
+
+
 def tfidf(docs: DataFrame, key: str, tokens: Column, fitted_on: DataFrame, min_df: int) -> DataFrame:
     """Sparse rows ``key, tok, w``: sublinear tf, smoothed idf fitted on one frame, L2-normalised per document."""
     n = fitted_on.agg(F.count(F.lit(1))).scalar()
-    df = fitted_on.select(F.explode(F.array_distinct(tokens)).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    idf = df.select("tok", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    tf = docs.select(key, F.explode(tokens).alias("tok")).groupBy(key, "tok").agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.join(idf, "tok").select(key, "tok", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, "tok", (F.col("w") / F.col("norm")).alias("w"))
+    df = sums(fitted_on, [], Terms(tokens)).where(F.col("df") >= min_df)
+    idf = stored(df.select("tok", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    return _weighted(one_per_key(docs, key, tokens), key, Terms(F.col("_words")), idf)
 
 
-def tfidf_blocks(docs: DataFrame, key: str, blocks: dict[str, Column], fitted_on: DataFrame, min_df: int = 5, vocabulary: int = 150_000) -> DataFrame:
+def tfidf_blocks(docs: DataFrame, key: str, blocks: dict[str, Terms], fitted_on: DataFrame, min_df: int = 5, vocabulary: int = 150_000) -> DataFrame:
     """Sparse rows ``key, block, tok, w``: each block of terms weighted and L2-normalised by itself.
 
     A block keeps terms of at least ``min_df`` documents, the ``vocabulary`` most frequent ones (then by term).
@@ -40,13 +55,10 @@ def tfidf_blocks(docs: DataFrame, key: str, blocks: dict[str, Column], fitted_on
     n = fitted_on.agg(F.count(F.lit(1))).scalar()
     out = None
     for name, terms in blocks.items():
-        per = fitted_on.select(key, F.explode(terms).alias("tok")).groupBy(key, "tok").agg(F.count(F.lit(1)).alias("tf"))
-        df = per.groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")).where(F.col("df") >= min_df)
-        idf = df.orderBy(F.col("n").desc(), "tok").limit(vocabulary).select("tok", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-        tf = docs.select(key, F.explode(terms).alias("tok")).groupBy(key, "tok").agg(F.count(F.lit(1)).alias("tf"))
-        w = tf.join(idf, "tok").select(key, "tok", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-        norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        rows = w.join(norm, key).select(key, F.lit(name).alias("block"), "tok", (F.col("w") / F.col("norm")).alias("w"))
+        here = replace(terms, of=F.col("_words"))
+        df = stored(sums(one_per_key(fitted_on, key, terms.of), [], here).where(F.col("df") >= min_df), "terms")
+        idf = stored(df.orderBy(F.col("n").desc(), "tok").limit(vocabulary).select("tok", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+        rows = _weighted(one_per_key(docs, key, terms.of), key, here, idf).select(key, F.lit(name).alias("block"), "tok", "w")
         out = rows if out is None else out.unionByName(rows)
     return out
 

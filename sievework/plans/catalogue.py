@@ -14,6 +14,7 @@ from sievework.functions import text as tx
 from sievework.functions.stats import ratio, wilson
 from sievework.operators import costs, dedup, drift, metrics, ranking, resampling, routing, verify
 from sievework.operators import splits as sp
+from sievework.operators.terms import Terms
 from sievework.session import table
 from sievework.sources import frames
 
@@ -556,7 +557,7 @@ w{b} AS (SELECT doc_id, '{b}' AS block, (1 + ln(tf)) * (ln((1 + (SELECT count(*)
 SELECT doc_id, block, count(*) AS n_terms, round(sum(w) / sqrt(sum(w * w)), 5) AS total FROM e GROUP BY 1, 2""")
 def tfidf_blocks(spark, d):
     docs = table(spark, d, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("t"), "text")
-    blocks = {"w": F.concat(F.col("t"), tx.ngrams(F.col("t"), 2)), "c": tx.char_wb_ngrams(F.col("text"))}
+    blocks = {"w": Terms(F.col("t"), (1, 2)), "c": Terms(tx.blank_words(F.col("text")), chars=(3, 5))}
     rows = drift.tfidf_blocks(docs, "doc_id", blocks, docs)
     return rows.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("w"), 5).alias("total"))
 
