@@ -46,3 +46,39 @@ def test_tfidf_blocks_shuffle_no_occurrences(spark, monkeypatch, how, bound):
         w = {x: (1 + math.log(c[x])) * (math.log((1 + len(TEXTS)) / (1 + df[x])) + 1) for x in kept if c[x]}
         want |= {(k, x): v / math.sqrt(sum(y * y for y in w.values())) for x, v in w.items()}
     assert {(r.id, r.tok): r.w for r in rows.collect()} == pytest.approx(want)
+
+
+def test_routing_joins_are_made_once(spark, monkeypatch):
+    from sievework import gates
+    from sievework.operators import routing
+
+    a = spark.createDataFrame([(i, "x" if i % 3 else "y", "x", i / 20) for i in range(20)], "id int, y_true string, y_pred string, p_max double")
+    c, receipts = a.select("id", "y_true", "y_pred"), a.select("id", F.lit(0.5).alias("computed_cost_usd"), (F.col("id") == 3).alias("parse_failed"))
+    rows = routing.with_c(routing.with_b(a, a, "id"), c, receipts, "id")
+    assert "Join" not in plan(rows) and "Exchange" not in plan(rows)  # stored by the gates
+    policies = routing.all_policies(rows, "id", {"a_to_human": 0.6, "a_to_b": 0.7, "a_to_c": 0.5, "a_to_b_to_c": 0.65, "b": 0.4}, 0.001, 0.02)
+    assert "Join" not in plan(routing.evaluation(policies, ["x", "y"], 2.0, 1.5))
+    both = routing.paired(policies, "a", "a_to_c", 2.0, 1.5)
+    assert both.count() == 20 and "Exchange" not in plan(both)
+    with pytest.raises(gates.GateError, match="missing id: 7"):
+        routing.with_b(a, a.where("id <> 7"), "id")
+    with pytest.raises(gates.GateError, match="different y_true: 7"):
+        routing.with_b(a, a.withColumn("y_true", F.when(F.col("id") != 7, F.col("y_true"))), "id")
+    with pytest.raises(gates.GateError, match="repeated id: 7"):
+        routing.with_b(a, a.unionByName(a.where("id = 7")), "id")
+
+
+def test_weights_of_draws_on_limits():
+    import numpy as np
+
+    from sievework.operators import resampling as r
+
+    # Upper bits that hold a limit are told apart by the lower ones, the others all weigh the same.
+    tops = np.arange(1 << 16, dtype=np.int64) << 16
+    low, high = ((tops[:, None] + more >= np.array(r._EDGES, np.int64)).sum(axis=1) for more in (0, 65535))
+    assert (r._BY_TOP == np.where(low == high, low, r._SPLIT)).all()
+    keys = np.arange(-3000, 3000)
+    mixed = lambda x: (lambda y: y ^ (y >> np.uint64(29)))((x ^ (x >> np.uint64(32))) * np.uint64(r.MIX))
+    own = mixed(keys.view(np.uint64) + np.uint64(r.seed_number("s")))
+    draws = mixed(mixed(own[:, None] + np.arange(50, dtype=np.uint64) * np.uint64(r.STEP))) >> np.uint64(32)
+    assert (r.weights(keys, 50, "s") == sum((draws >= x).astype(float) for x in r._EDGES)).all()
