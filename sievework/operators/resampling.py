@@ -19,7 +19,8 @@ from pyspark.sql.types import IntegralType
 #: Constants of the draws, modulo 2^64; 32 bits of a draw are compared with the Poisson(1) distribution.
 MIX, STEP = 0xFF51AFD7ED558CCD, 0x9E3779B97F4A7C15
 LIMITS = tuple(math.ceil(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(9))
-_CELLS = 1 << 18  # draws at a time, so that they stay in the cache
+_EDGES = np.array([min(x, 2**32 - 1) for x in LIMITS], np.uint64)
+_CELLS = 1 << 16  # draws at a time, so that they stay in the cache
 _U = np.uint64
 
 
@@ -27,32 +28,46 @@ def seed_number(seed: str) -> int:
     return int.from_bytes(hashlib.md5(seed.encode()).digest()[:8], "big")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(MIX)
-    return x ^ (x >> _U(29))
+def _mix(x: np.ndarray, spare: np.ndarray) -> None:
+    """Mixes ``x`` in place."""
+    x ^= np.right_shift(x, _U(32), out=spare)
+    x *= _U(MIX)
+    x ^= np.right_shift(x, _U(29), out=spare)
+
+
+#: Weights by a draw's upper 16 bits; ``_SPLIT`` where a limit lies between draws of the same upper bits.
+_TOPS, _SPLIT = np.arange(1 << 16, dtype=np.int64) << 16, 255
+_LEAST, _MOST = (np.searchsorted(_EDGES.astype(np.int64), _TOPS + more, "right") for more in (0, (1 << 16) - 1))
+_BY_TOP = np.where(_LEAST == _MOST, _LEAST, _SPLIT).astype(np.uint8)
 
 
 def weights(keys: np.ndarray, reps: int, seed: str) -> np.ndarray:
     """Poisson(1) weights, a row per key and a column per replicate."""
-    own = _mixed(keys.view(np.uint64) + _U(seed_number(seed)))
-    draws = _mixed(_mixed(own[:, None] + np.arange(reps, dtype=np.uint64) * _U(STEP))) >> _U(32)
-    draws = draws.astype(np.uint32)
-    out = np.zeros(draws.shape, np.float64)
-    for limit in LIMITS:
-        out += draws >= np.uint32(min(limit, 2**32 - 1))
-    return out
+    own = keys.view(np.uint64) + _U(seed_number(seed))
+    _mix(own, np.empty_like(own))
+    draws = own[:, None] + np.arange(reps, dtype=np.uint64) * _U(STEP)
+    spare = np.empty_like(draws)
+    _mix(draws, spare)
+    draws ^= np.right_shift(draws, _U(32), out=spare)
+    draws *= _U(MIX)
+    # The last step of the mixing leaves the upper bits as they are; few draws need it.
+    out = _BY_TOP.take(np.right_shift(draws, _U(48), out=spare).view(np.int64), mode="wrap")
+    split = np.flatnonzero(out.ravel() == _SPLIT)
+    late = draws.ravel()[split]
+    out.ravel()[split] = np.searchsorted(_EDGES, (late ^ (late >> _U(29))) >> _U(32), "right")
+    return out.astype(np.float64)
 
 
 def _summer(reps: int, seed: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((reps, len(names)))
+        total = np.zeros((len(names), reps))
         size = max(1, _CELLS // reps)
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
             values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
             for k in range(0, len(keys), size):
-                total += weights(keys[k : k + size], reps, seed).T @ values[k : k + size]
-        yield pa.record_batch([pa.array(np.arange(reps, dtype=np.int32)), *(pa.array(total[:, i]) for i in range(len(names)))], names=["rep", *names])
+                total += values[k : k + size].T @ weights(keys[k : k + size], reps, seed)
+        yield pa.record_batch([pa.array(np.arange(reps, dtype=np.int32)), *(pa.array(total[i]) for i in range(len(names)))], names=["rep", *names])
 
     return run
 
