@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sievework import gates
 from sievework.functions.stats import ratio
@@ -15,14 +16,13 @@ from sievework.operators.terms import Terms, counts, one_per_key, sums, weighted
 from sievework.session import stored
 
 
-def oov(docs: DataFrame, tokens: Column, reference: Column, group: str) -> DataFrame:
+def oov(docs: DataFrame, terms: Terms, reference: Column, group: str) -> DataFrame:
     """Per group: tokens, tokens and types unknown to the reference rows, and their shares."""
-    t = docs.select(group, reference.alias("ref"), F.explode(tokens).alias("tok"))
-    # Types per group first: occurrences are combined before anything is joined.
-    per = t.groupBy(group, "ref", "tok").agg(F.count(F.lit(1)).alias("n"))
-    known = per.where("ref").select("tok").distinct().withColumn("known", F.lit(True))
-    j = per.join(known, "tok", "left").select(group, "tok", "n", F.coalesce("known", F.lit(False)).alias("known"))
-    g = j.groupBy(group).agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("n_oov"), F.count_distinct("tok").alias("n_types"), F.count_distinct(F.when(~F.col("known"), F.col("tok"))).alias("n_oov_types"))
+    per = sums(docs.withColumn("ref", reference), [group, "ref"], terms)
+    # Types per group first: a row is a type, so types are counted without being told apart again.
+    types = per.groupBy("tok", group).agg(F.sum("n").alias("n"), F.coalesce(F.bool_or("ref"), F.lit(False)).alias("ref"))
+    j = types.withColumn("known", F.max("ref").over(Window.partitionBy("tok")))
+    g = j.groupBy(group).agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("n_oov"), F.count(F.lit(1)).alias("n_types"), F.count_if(~F.col("known")).alias("n_oov_types"))
     return g.withColumn("oov_rate", ratio(F.col("n_oov"), F.col("n_tokens"))).withColumn("type_oov_rate", ratio(F.col("n_oov_types"), F.col("n_types")))
 
 

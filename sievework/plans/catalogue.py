@@ -457,7 +457,7 @@ _OOV = f"w AS (SELECT lang, doc_id % 2 = 0 AS ref, unnest({_WT}) AS tok FROM doc
 
 @query("oov_rates", f"WITH {_OOV} SELECT lang, count(*) AS n_tokens, count(*) FILTER (k.tok IS NULL) AS n_oov, count(DISTINCT w.tok) AS n_types, count(DISTINCT w.tok) FILTER (k.tok IS NULL) AS n_oov_types, round(count(*) FILTER (k.tok IS NULL) / count(*), 6) AS oov_rate, round(count(DISTINCT w.tok) FILTER (k.tok IS NULL) / count(DISTINCT w.tok), 6) AS type_oov_rate FROM w LEFT JOIN k ON k.tok = w.tok GROUP BY 1")
 def oov_rates(spark, d):
-    g = drift.oov(table(spark, d, "documents"), tx.word_tokens(F.col("text")), F.col("doc_id") % 2 == 0, "lang")
+    g = drift.oov(table(spark, d, "documents"), Terms(tx.word_tokens(F.col("text"))), F.col("doc_id") % 2 == 0, "lang")
     return g.select("lang", "n_tokens", "n_oov", "n_types", "n_oov_types", r6("oov_rate", "oov_rate"), r6("type_oov_rate", "type_oov_rate"))
 
 
@@ -467,7 +467,7 @@ _BG = f"list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])"
 @query("ngram_oov", f"WITH x AS (SELECT lang, doc_id, {_WT} AS t FROM documents), w AS (SELECT lang, doc_id % 2 = 0 AS ref, unnest({_BG}) AS tok FROM x), k AS (SELECT DISTINCT tok FROM w WHERE ref) SELECT lang, count(*) AS n_tokens, count(*) FILTER (k.tok IS NULL) AS n_oov FROM w LEFT JOIN k ON k.tok = w.tok GROUP BY 1")
 def ngram_oov(spark, d):
     t = table(spark, d, "documents").select("lang", "doc_id", tx.word_tokens(F.col("text")).alias("t"))
-    return drift.oov(t, tx.ngrams(F.col("t"), 2), F.col("doc_id") % 2 == 0, "lang").select("lang", "n_tokens", "n_oov")
+    return drift.oov(t, Terms(F.col("t"), (2, 2)), F.col("doc_id") % 2 == 0, "lang").select("lang", "n_tokens", "n_oov")
 
 
 @query("tfidf_centroid", f"""WITH t AS (SELECT doc_id, lang, {_WT} AS t FROM documents), n AS (SELECT count(*) AS n FROM t),
