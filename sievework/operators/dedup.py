@@ -105,14 +105,17 @@ def bands(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """``node, label``: smallest reachable node of links ``u, v``; rounds are stored, so lineage stays short."""
+    """``node, label``: smallest reachable node of links ``u, v``; rounds are stored, so lineage stays short.
+
+    No side of a round's joins is small by itself, so none passes the driver to be broadcast.
+    """
     both = stored(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        near = both.join(labels.select(F.col("node").alias("v"), "label").hint("merge"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         top = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        new = stored(low.join(top, "label").select("node", "old", F.least("label", "top").alias("label")), "labels")
+        low = labels.join(near.hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        new = stored(low.join(top.hint("merge"), "label").select("node", "old", F.least("label", "top").alias("label")), "labels")
         if new.where("old <> label").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
@@ -125,11 +128,11 @@ def clusters(docs: DataFrame, key: str, text: str, day: str) -> DataFrame:
     """
     b = stored(bands(docs, key, text), "bands")
     hub = b.groupBy("band", "key").agg(F.min(key).alias("v"))
-    links = b.join(hub, ["band", "key"]).select(F.col(key).alias("u"), "v")
+    links = b.join(hub.hint("merge"), ["band", "key"]).select(F.col(key).alias("u"), "v")
     labels = connected(links)
-    rows = docs.select(key, day).join(labels, F.col(key) == F.col("node"))
+    rows = docs.select(key, day).join(labels.hint("merge"), F.col(key) == F.col("node"))
     rep = rows.groupBy("label").agg(F.min(F.struct(day, key)).alias("m")).select("label", F.col(f"m.{key}").alias("cluster_id"))
-    return rows.join(rep, "label").select(key, "cluster_id", (F.col(key) == F.col("cluster_id")).alias("kept"))
+    return rows.join(rep.hint("merge"), "label").select(key, "cluster_id", (F.col(key) == F.col("cluster_id")).alias("kept"))
 
 
 def split_leaks(docs: DataFrame, key: str, text: str, first: Column, num: int = 90, den: int = 100) -> DataFrame:

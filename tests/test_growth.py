@@ -82,3 +82,23 @@ def test_weights_of_draws_on_limits():
     own = mixed(keys.view(np.uint64) + np.uint64(r.seed_number("s")))
     draws = mixed(mixed(own[:, None] + np.arange(50, dtype=np.uint64) * np.uint64(r.STEP))) >> np.uint64(32)
     assert (r.weights(keys, 50, "s") == sum((draws >= x).astype(float) for x in r._EDGES)).all()
+
+
+def test_oov_joins_nothing(spark):
+    docs = spark.createDataFrame([(0, "p", "aa bb aa"), (1, "p", "bb aa cc"), (2, "q", "cc dd"), (3, None, "ee bb aa cc")], "id int, g string, text string")
+    got = drift.oov(docs, Terms(F.split("text", " "), (2, 2)), F.col("id") % 2 == 0, "g")
+    assert "Join" not in plan(got) and "Expand" not in plan(got)
+    assert {r.g: (r.n_tokens, r.n_oov, r.n_types, r.n_oov_types) for r in got.collect()} == {"p": (4, 1, 3, 1), "q": (1, 0, 1, 0), None: (3, 2, 3, 2)}
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    from sievework.operators import dedup
+
+    plans, stored = [], dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda df, label: (plans.append(plan(df)), stored(df, label))[1])
+    links = spark.createDataFrame([(i, i - 1) for i in range(1, 6)] + [(9, 8)], "u long, v long")
+    assert {r.node: r.label for r in dedup.connected(links).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 8: 8, 9: 8}
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y")], "id long, t string").withColumn("day", F.lit(0))
+    got = dedup.clusters(docs, "id", "t", "day")
+    assert {(r.id, r.cluster_id, r.kept) for r in got.collect()} == {(1, 1, True), (2, 1, False), (3, 3, True)}
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in [*plans, plan(got)])
