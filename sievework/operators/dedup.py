@@ -18,6 +18,7 @@ from sievework.session import bound_batches, stored, table
 #: 8 bands of 16 rows: a pair of Jaccard j is linked with chance 1 - (1 - j^16)^8, one half at 0.878.
 NUM_PERM, ROWS_PER_BAND = 128, 16
 SHINGLE = 5
+BUCKETS = 1 << 20  # of shingles by hash, whose counts order a split's shingles (8 bytes each in a task)
 SIGN_BLOCK = 512  # shingles at a time, so that the products stay in the cache
 #: Hashes are polynomials modulo 2^64: over the bytes of a word, then over the mixed hashes of a shingle's words.
 BYTE_BASE, WORD_BASE, MIX, EMPTY_HASH = 0x100000001B3, 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 1
@@ -135,23 +136,56 @@ def clusters(docs: DataFrame, key: str, text: str, day: str) -> DataFrame:
     return rows.join(rep.hint("merge"), "label").select(key, "cluster_id", (F.col(key) == F.col("cluster_id")).alias("kept"))
 
 
+def _bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How many hashes of all ``s`` fall into each of ``BUCKETS``: a bounded stand-in for the frequency of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
+        full = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(full), pa.array(total[full])], names=["b", "n"])
+
+    bound_batches(sets.sparkSession)
+    got = sets.select("s").mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[got["b"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _heads(rarity: np.ndarray, num: int, den: int):
+    """Of ``side, id, s`` the prefix of each set, a row per shingle, with the size of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column(2).flatten().to_numpy()
+            n = b.column(2).value_lengths().to_numpy()
+            own = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((g, rarity[g & (BUCKETS - 1)], own))
+            place = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)  # owners stay in place
+            kept = place < (n - -(-n * num // den) + 1)[own]
+            of = pa.array(own[kept])
+            yield pa.record_batch([b.column(0).take(of), b.column(1).take(of), pa.array(n.astype(np.int32)).take(of), pa.array(g[order][kept])], names=["side", "id", "n", "g"])
+
+    return run
+
+
 def split_leaks(docs: DataFrame, key: str, text: str, first: Column, num: int = 90, den: int = 100) -> DataFrame:
     """Texts of the two sides of a split (``first``: on the one side) that share ``num/den`` of their shingles' union.
 
     ``first_id, second_id, shared, n_union, n_first, n_second``: a row per pair of different shingle sets, one of each
     side, by their smallest keys and how many texts have them; copies are not paired one by one. Exact: sets that are
-    so alike have one of their rarest shingles in common (a prefix in the order of frequency), and only sets that meet
-    there, of sizes that allow it, are compared. Texts without tokens are left out.
+    so alike have one of their rarest shingles in common (a prefix in any order that all sets share, here by how full a shingle's
+    bucket of hashes is, then by hash), and only sets that meet there, of sizes that allow it, are compared. Texts
+    without tokens are left out.
     """
     sets = docs.select(key, first.alias("side"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0).select(key, "side", shingles(F.col("t")).alias("s"))
     hashed = sets.select(key, "side", F.array_sort(F.transform("s", lambda g: F.xxhash64(g))).alias("s"))
     one = stored(hashed.groupBy("side", "s").agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("n_texts")), "sets")
-    each = one.select("side", "id", F.explode("s").alias("g"))
-    df = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.join(df, "g").groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
-    n = F.size("o")
-    least = F.ceil(n * num / den)
-    heads = stored(ordered.select("side", "id", n.alias("n"), F.explode(F.slice("o", F.lit(1), (n - least + 1).cast("int"))).alias("x")).select("side", "id", "n", "x.g"), "prefixes")
+    rarity = _bucket_counts(one)
+    heads = stored(one.select("side", "id", "s").mapInArrow(_heads(rarity, num, den), StructType([one.schema["side"], one.schema["id"]]).add("n", "integer").add("g", "long")), "prefixes")
     left, right = (heads.where("side" if x else "not side").select(F.col("id").alias(f"id{x}"), F.col("n").alias(f"n{x}"), "g") for x in (1, 0))
     sized = (den * F.least("n1", "n0") >= num * F.greatest("n1", "n0"))
     pairs = left.join(right, "g").where(sized).select("id1", "id0").distinct()

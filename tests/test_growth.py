@@ -102,3 +102,22 @@ def test_components_broadcast_nothing(spark, monkeypatch):
     got = dedup.clusters(docs, "id", "t", "day")
     assert {(r.id, r.cluster_id, r.kept) for r in got.collect()} == {(1, 1, True), (2, 1, False), (3, 3, True)}
     assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in [*plans, plan(got)])
+
+
+def test_split_leaks_shuffles_no_whole_sets(spark, monkeypatch):
+    from sievework.operators import dedup
+
+    plans, stored = {}, dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda df, label: (plans.update({label: plan(df)}), stored(df, label))[1])
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: 60 - i % 4] + ([f"z{i}"] if i % 3 else []))) for i in range(24)] + [(90, ""), (91, "")]
+    docs = spark.createDataFrame(rows, "id int, t string")
+    got = {(r.first_id, r.second_id): r.shared for r in dedup.split_leaks(docs, "id", "t", F.col("id") % 2 == 0).collect()}
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        if w:
+            sets.setdefault((i % 2 == 0, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))), i)
+    want = {(i, j): len(x & y) for (a, x), i in sets.items() for (b, y), j in sets.items() if a and not b and 100 * len(x & y) >= 90 * len(x | y)}
+    assert got == want and want
+    assert "Exchange" not in plans["prefixes"]
